@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.session import cut, shuffle_partitions
@@ -12,23 +14,30 @@ def _fold(key: str, sums: list[str]):
     """Sorted batches -> one row for each run of equal keys; ``edge`` marks the first and last key of the partition."""
     schema = pa.schema([(key, pa.string()), *((s, pa.int64()) for s in sums), ("edge", pa.bool_())])
 
+    def out(keys, states, edge):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(x) for x in states), pa.array(edge, pa.bool_())], schema=schema)
+
     def run(batches):
         held, first = None, True  # the last key may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.table([batch.column(c) for c in [key, *sums]], names=[key, *sums])
+            ree = pc.run_end_encode(batch.column(key))
+            starts = np.concatenate([[0], np.asarray(ree.run_ends)[:-1]]).astype(np.int64)
+            keys = ree.values.to_pylist()
+            states = np.stack([np.add.reduceat(np.asarray(batch.column(s)), starts) for s in sums])
             if held is not None:
-                t = pa.concat_tables([held, t])
-            g = t.group_by(key, use_threads=False).aggregate([(s, "sum") for s in sums])
-            g = g.select([key, *(f"{s}_sum" for s in sums)]).rename_columns([key, *sums])
-            done, held = g.slice(0, g.num_rows - 1), g.slice(g.num_rows - 1)
-            if done.num_rows:
-                edge = pa.array([first and i == 0 for i in range(done.num_rows)], pa.bool_())
+                if keys[0] == held[0]:
+                    states[:, 0] += held[1]
+                else:
+                    yield out([held[0]], held[1][:, None], [first])
+                    first = False
+            if len(keys) > 1:
+                yield out(keys[:-1], states[:, :-1], [first, *[False] * (len(keys) - 2)])
                 first = False
-                yield from done.append_column("edge", edge).cast(schema).to_batches()
+            held = keys[-1], states[:, -1].copy()
         if held is not None:
-            yield from held.append_column("edge", pa.array([True], pa.bool_())).cast(schema).to_batches()
+            yield out([held[0]], held[1][:, None], [True])
 
     return run
 
