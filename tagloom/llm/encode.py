@@ -89,7 +89,7 @@ def _chunk_batches(chunk: int, overlap: int):
     """Texts -> chunks that overlap the next one, with the pre-token boundaries in either overlap."""
     import regex
 
-    find = regex.compile(PATTERN)
+    find, space = regex.compile(PATTERN), re.compile(f"[{SPACE}]").match
     schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("piece", pa.string()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -100,7 +100,7 @@ def _chunk_batches(chunk: int, overlap: int):
                     piece = text[start : start + chunk + overlap]
                     ends = [start + m.start() for m in find.finditer(piece)]
                     head = [e for e in ends if e <= start + overlap]
-                    tail = [e for e in ends if e >= start + chunk]
+                    tail = [e for e in ends if e >= start + chunk and not space(text[e - 1])]
                     rows.append((doc, seq, start, piece, head, tail))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -112,7 +112,8 @@ def encode(docs: DataFrame, vocab: str = VOCAB, chunk: int = CHUNK, overlap: int
 
     Texts of up to two chunks are encoded as they are read. Longer ones are cut into chunks that overlap; each chunk is
     pre-tokenised on its own, and neighbours are stitched at the first boundary that both have in their overlap: from
-    a common boundary on, pre-tokens depend only on what follows, so both go on alike. The pieces between stitches are encoded in
+    a common boundary on, pre-tokens depend only on what follows, so both go on alike. A stitch never stands behind white
+    space, whose pre-tokens also depend on what follows them. The pieces between stitches are encoded in
     parallel and put together in order. Where an overlap has no common boundary (one run longer than the overlap), the
     text is encoded as one piece. The ids are those of the whole text in every case.
 
