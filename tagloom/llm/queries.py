@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode, mixing, repetition
+from tagloom.llm import encode, mixing, repetition, syntax
 from tagloom.tables import load
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text is not valid in the language of their extension."""
+    return syntax.broken_files(load(spark, d, "documents", "rel_file", "text")).select("rel_file")
+
+
+def p5_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Those files with the reason."""
+    return syntax.broken_files(load(spark, d, "documents", "rel_file", "text"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files by repository and language."""
+    return syntax.broken_rates(load(spark, d, "documents", "rel_file", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode.encode(load(spark, d, "documents", "doc_id", "text"))
@@ -34,7 +49,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 SQL: dict[str, str] = {
     "p9_found": r"""
