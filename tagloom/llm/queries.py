@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode, mixing, repetition, syntax
+from tagloom.llm import encode, mixing, provenance, repetition, syntax
 from tagloom.tables import load
 
 
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(load(spark, d, "documents", "rel_file", "text"), load(spark, d, "lib_files", "lib_id", "file_name", "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody in their repository wrote by hand."""
+    return _not_handwritten(spark, d).select("rel_file")
+
+
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Those files with their reasons, size, tags and rank."""
+    more = (load(spark, d, "file_state", "rel_file", "size", "scan_id", "received_at"), load(spark, d, "tags", "rel_file"), load(spark, d, "file_ranks"))
+    return provenance.with_records(_not_handwritten(spark, d), *more)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose text is not valid in the language of their extension."""
     return syntax.broken_files(load(spark, d, "documents", "rel_file", "text")).select("rel_file")
@@ -49,7 +64,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 SQL: dict[str, str] = {
     "p9_found": r"""
