@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode, mixing, provenance, repetition, syntax
+from tagloom.llm import docpairs, encode, mixing, provenance, repetition, syntax
 from tagloom.tables import load
 
 
+SYMBOL = ("file", "line", "name", "type", "signature", "docstring", "language", "body")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods with code and telling documentation."""
+    return docpairs.described_symbols(load(spark, d, "symbols", *SYMBOL), load(spark, d, "documents", "rel_file", "text")).select("file", "line", "name")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Those with their documentation, signature, body and language."""
+    return docpairs.pairs(load(spark, d, "symbols", *SYMBOL), load(spark, d, "documents", "rel_file", "text"))
+
+
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(load(spark, d, "documents", "rel_file", "text"), load(spark, d, "lib_files", "lib_id", "file_name", "text"))
 
@@ -64,7 +77,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 SQL: dict[str, str] = {
     "p9_found": r"""
