@@ -117,7 +117,7 @@ def report(files: DataFrame, tags: DataFrame) -> DataFrame:
     f = files.filter("rel_file is not null").select("rel_file").distinct()
     d = tags.filter("kind = 'def'").select("rel_file").distinct()
     n = f.join(d, "rel_file", "left_anti").agg(F.count("*").alias("untagged")).withColumn("k", F.lit(1))
-    c = tags.agg(F.count_if("kind = 'def'").alias("definitions"), F.count_if("kind = 'ref'").alias("references")).withColumn("k", F.lit(1))
+    c = tags.agg(F.count_if(F.col("kind") == "def").alias("definitions"), F.count_if(F.col("kind") == "ref").alias("references")).withColumn("k", F.lit(1))
     return c.join(f.agg(F.count("*").alias("considered")).withColumn("k", F.lit(1)), "k").join(n, "k").drop("k")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.plans import general
+from tagloom.plans import codemap, general
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**codemap.QUERIES, **general.QUERIES}
+SQL = {**codemap.SQL, **general.SQL}
