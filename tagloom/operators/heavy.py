@@ -13,7 +13,7 @@ EPSILON = 0.0002
 
 def _summaries(cols: list[str], epsilon: float):
     """Arrow batches -> lossy counting entries of the partition, and one row with its total and last bucket."""
-    width = max(1, int(1 / epsilon))
+    width, keys_in = max(1, int(1 / epsilon)), [f"k{i}" for i in range(len(cols))]
 
     def run(batches):
         entries: dict[tuple, list[int]] = {}  # value -> [count since entry, most that was missed before]
@@ -24,8 +24,8 @@ def _summaries(cols: list[str], epsilon: float):
                 part = batch.slice(at, min(batch.num_rows - at, width - seen % width))
                 at += part.num_rows
                 seen += part.num_rows
-                counted = pa.table([part.column(c) for c in cols], names=cols).group_by(cols).aggregate([([], "count_all")])
-                for *key, n in zip(*(counted.column(c).to_pylist() for c in [*cols, "count_all"])):
+                counted = pa.table([part.column(c) for c in cols], names=keys_in).group_by(keys_in).aggregate([([], "count_all")])
+                for *key, n in zip(*(counted.column(c).to_pylist() for c in [*keys_in, "count_all"])):
                     e = entries.get(key := tuple(key))
                     if e:
                         e[0] += n
@@ -34,7 +34,7 @@ def _summaries(cols: list[str], epsilon: float):
                 if seen % width == 0:
                     entries = {k: e for k, e in entries.items() if e[0] + e[1] > bucket}
                     bucket += 1
-        schema = pa.schema([*((c, pa.string()) for c in cols), ("n", pa.int64()), ("delta", pa.int64()), ("missed", pa.int64()), ("total", pa.int64())])
+        schema = pa.schema([*((c, pa.string()) for c in cols), ("_n", pa.int64()), ("_delta", pa.int64()), ("_missed", pa.int64()), ("_total", pa.int64())])
         keys = list(entries)
         missed = bucket - 1  # the most a value without an entry can have had here
         columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(cols))]
@@ -61,21 +61,21 @@ def frequent_items(df: DataFrame, cols: list[str], support: float, epsilon: floa
         raise ValueError("epsilon must be positive and below support")
     slim = df.select(*(F.col(c).cast("string").alias(c) for c in cols))
     names = ", ".join(f"`{c}` string" for c in cols)
-    parts = cut(slim.mapInArrow(_summaries(cols, epsilon), f"{names}, n long, delta long, missed long, total long"))
-    head = parts.filter("total is not null").agg(F.sum("total").alias("rows"), F.sum("missed").alias("missed")).first()
+    parts = cut(slim.mapInArrow(_summaries(cols, epsilon), f"{names}, _n long, _delta long, _missed long, _total long"))
+    head = parts.filter("_total is not null").agg(F.sum("_total").alias("rows"), F.sum("_missed").alias("missed")).first()
     rows, missed = head["rows"] or 0, head["missed"] or 0
     merged = (
-        parts.filter("total is null")
+        parts.filter("_total is null")
         .groupBy(*cols)
-        .agg(F.sum("n").alias("count_low"), F.sum(F.col("n") + F.col("delta") - F.col("missed")).alias("above"))
-        .withColumn("count_high", F.col("above") + F.lit(missed))
+        .agg(F.sum("_n").alias("count_low"), F.sum(F.col("_n") + F.col("_delta") - F.col("_missed")).alias("_above"))
+        .withColumn("count_high", F.col("_above") + F.lit(missed))
         .filter(F.col("count_high") >= F.lit(support * rows))
     )
     return merged.select(*cols, "count_low", "count_high"), rows
 
 
 def frequent_exact(df: DataFrame, cols: list[str], support: float, epsilon: float = EPSILON) -> DataFrame:
-    """``cols`` and ``n`` of exactly the values that hold ``support`` of all rows or more.
+    """``cols`` and ``_rows`` of exactly the values that hold ``support`` of all rows or more.
 
     The candidates are those of ``frequent_items``: at most ``1 / (support - epsilon)`` of them, which bounds what is
     broadcast; only rows of candidates are counted again. Null handling as there.
@@ -86,5 +86,5 @@ def frequent_exact(df: DataFrame, cols: list[str], support: float, epsilon: floa
     for i, c in enumerate(cols):
         eq = F.col(c).cast("string").eqNullSafe(F.col(f"_k{i}"))
         same = eq if same is None else same & eq
-    again = df.select(*cols).join(F.broadcast(few), same, "left_semi").groupBy(*cols).agg(F.count("*").alias("n"))
-    return again.filter(F.col("n") >= F.lit(support * rows))
+    again = df.select(*cols).join(F.broadcast(few), same, "left_semi").groupBy(*cols).agg(F.count("*").alias("_rows"))
+    return again.filter(F.col("_rows") >= F.lit(support * rows))

@@ -8,6 +8,7 @@ from tagloom.functions.text import is_test
 from tagloom.session import cut
 
 ALPHA, TOLERANCE, MOST = 0.85, 1e-6, 100
+BROADCAST_NODES = 100_000
 
 
 def pagerank(
@@ -22,7 +23,8 @@ def pagerank(
     repeated ones count once. No nodes give no rows.
 
     Parallel edges are summed to weights once. A step is one join of edges and ranks on the source and one aggregation by target; dangling mass and
-    normaliser come from the aggregate of the step before, two numbers on the driver. Lineage is cut every fifth step.
+    normaliser are two numbers on the driver, from one aggregate a step. Lineage is cut every step, as each
+    vector is used twice in the next. A vector of few nodes is broadcast, a larger one is joined by shuffle.
     """
     n_ = cut(nodes.select("rel_file").filter("rel_file is not null").distinct())
     n = n_.count()
@@ -48,23 +50,23 @@ def pagerank(
         ranks = ranks.select("rel_file", "dangling", "jump", (F.col("rank") / total).alias("rank"))
     else:
         ranks = base.withColumn("rank", F.lit(1.0 / n))
-    ranks = cut(ranks)
-    mass = ranks.filter("dangling").agg(F.sum("rank")).first()[0] or 0.0
-    for step in range(iterations or most):
-        came = weights.join(ranks.select(F.col("rel_file").alias("from_file"), "rank"), "from_file").groupBy(F.col("to_file").alias("rel_file")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
-        raw = ranks.withColumnRenamed("rank", "old").join(came, "rel_file", "left").withColumn(
-            "raw", F.lit(1 - alpha) * F.col("jump") + F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + (F.lit(mass) * F.col("jump") if teleport is not None else F.lit(mass / n)))
-        )
-        raw = cut(raw)
-        total = raw.agg(F.sum("raw")).first()[0]
-        ranks = raw.select("rel_file", "dangling", "jump", (F.col("raw") / total).alias("rank"), "old")
-        s = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("mass"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).first()
-        mass = s["mass"] or 0.0
-        ranks = ranks.drop("old")
-        if iterations is None and s["moved"] < tolerance:
+    small = F.broadcast if n <= BROADCAST_NODES else (lambda df: df)  # a vector of that many nodes is some megabytes
+    raw = cut(ranks.withColumnRenamed("rank", "raw"))
+    total, mass = 1.0, raw.agg(F.sum(F.when(F.col("dangling"), F.col("raw")))).first()[0] or 0.0
+    for _ in range(iterations or most):
+        old = F.col("raw") / F.lit(total)
+        came = weights.join(small(raw.select(F.col("rel_file").alias("from_file"), old.alias("rank"))), "from_file").groupBy(F.col("to_file").alias("rel_file")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
+        spread = F.lit(mass) * F.col("jump") if teleport is not None else F.lit(mass / n)
+        new = cut(raw.withColumn("old", old).drop("raw").join(small(came), "rel_file", "left").select(
+            "rel_file", "dangling", "jump", "old", (F.lit(1 - alpha) * F.col("jump") + F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + spread)).alias("raw")
+        ))
+        s = new.agg(F.sum("raw").alias("total"), F.sum(F.when(F.col("dangling"), F.col("raw"))).alias("mass")).first()
+        total, mass = s["total"], (s["mass"] or 0.0) / s["total"]
+        raw = new.drop("old")
+        if iterations is None and new.agg(F.sum(F.abs(F.col("raw") / F.lit(total) - F.col("old")))).first()[0] < tolerance:
             break
     weights.unpersist()
-    return ranks.select("rel_file", "rank")
+    return raw.select("rel_file", (F.col("raw") / F.lit(total)).alias("rank"))
 
 
 def boosted(ranks: DataFrame, tags: DataFrame, idents: list[str] = (), files: list[str] = (), chat: list[str] = (), least: float | None = None) -> DataFrame:

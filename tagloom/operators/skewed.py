@@ -11,8 +11,8 @@ from tagloom.session import cut, shuffle_partitions
 
 
 def _fold(key: str, sums: list[str]):
-    """Sorted batches -> one row for each run of equal keys; ``edge`` marks the first and last key of the partition."""
-    schema = pa.schema([(key, pa.string()), *((s, pa.int64()) for s in sums), ("edge", pa.bool_())])
+    """Sorted batches -> one row for each run of equal keys; ``_edge`` marks the first and last key of the partition."""
+    schema = pa.schema([(key, pa.string()), *((s, pa.int64()) for s in sums), ("_edge", pa.bool_())])
 
     def out(keys, states, edge):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(x) for x in states), pa.array(edge, pa.bool_())], schema=schema)
@@ -55,9 +55,9 @@ def range_fold(rows: DataFrame, key: str, secondary: str, sums: list[str], parti
     n = partitions or shuffle_partitions(spark)
     slim = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(secondary).alias("_2"), *(F.col(s).cast("long").alias(s) for s in sums))
     ranged = slim.repartitionByRange(n, key, "_2").sortWithinPartitions(key, "_2").drop("_2")
-    parts = cut(ranged.mapInArrow(_fold(key, sums), f"`{key}` string, " + "".join(f"`{s}` long, " for s in sums) + "edge boolean"))
-    stitched = parts.filter("edge").groupBy(key).agg(*(F.sum(s).alias(s) for s in sums))
-    return parts.filter("not edge").select(key, *sums).unionByName(stitched)
+    parts = cut(ranged.mapInArrow(_fold(key, sums), f"`{key}` string, " + "".join(f"`{s}` long, " for s in sums) + "_edge boolean"))
+    stitched = parts.filter("_edge").groupBy(key).agg(*(F.sum(s).alias(s) for s in sums))
+    return parts.filter("not _edge").select(key, *sums).unionByName(stitched)
 
 
 def name_totals(tags: DataFrame, refs: DataFrame, stop_names: DataFrame, threshold: int = 50) -> DataFrame:

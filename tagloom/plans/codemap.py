@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.functions import text as T
 from tagloom.operators import content, edges, files, rank, render, resolve, search, snapshot, spans, traverse
-from tagloom.tables import load, rel_of
+from tagloom.sources import extract
+from tagloom.tables import load, nth, rel_of
 
 ITERATIONS = 10
 QUERIES: dict = {}
@@ -951,3 +952,25 @@ def detail_record(s, d):
 @query("symbols_by_file_rel", "SELECT CASE WHEN starts_with(file, '/srv/mirror/') THEN file[13:] ELSE file END AS rel_file, count(*) AS n FROM symbols GROUP BY 1")
 def symbols_by_file_rel(s, d):
     return load(s, d, "symbols", "file").groupBy(rel_of(F.col("file")).alias("rel_file")).agg(F.count("*").alias("n"))
+
+
+# --- extraction --------------------------------------------------------------------------------------------------------------
+
+
+def _texts(s, d):
+    return nth(load(s, d, "documents", "rel_file", "text").filter("rel_file is not null and text is not null").distinct(), s.sparkContext.defaultParallelism)
+
+
+@query("tags_extract")
+def tags_extract(s, d):
+    return extract.tags(_texts(s, d))
+
+
+@query("symbols_extract")
+def symbols_extract(s, d):
+    return extract.symbols(_texts(s, d))
+
+
+@query("imports_extract")
+def imports_extract(s, d):
+    return extract.imports(_texts(s, d))
