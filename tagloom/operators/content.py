@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.functions.text import STOPWORDS, canonical, canonical_of, is_test, tokens, tokens_of
+from tagloom.functions.text import CONTENT_SYNONYMS, STOPWORDS, SYNONYMS, canonical, canonical_of, is_test, tokens, tokens_of
 from tagloom.operators.search import clamp, interleave
 from tagloom.operators.spans import def_spans, top_callees, top_callers
 from tagloom.session import cut
+from tagloom.tables import nth
 
 FRACTION, SCORE, CALLERS, CALLEES = 0.5, 3.0, 8, 4
 WEIGHTS = {"name": 3.0, "near": 1.0, "callee": 0.5}
@@ -19,6 +21,12 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(canonical_of(t) for t in tokens_of(query) if t not in STOPWORDS and len(t) > 1))
 
 
+def spellings(words: list[str]) -> list[str]:
+    """The words and all that stands for them, as they may occur in a line."""
+    groups = {g.split()[0]: g.split() for g in SYNONYMS + CONTENT_SYNONYMS}
+    return sorted({x for w in words for x in (w, *groups.get(w, ()))})
+
+
 def token_frequencies(tags: DataFrame, words: list[str]) -> DataFrame:
     """``token, df, idf`` of the words over definitions: in how many names of definitions each stands, smoothed."""
     d = tags.filter("kind = 'def' and name is not null").select("rel_file", "line", "name").distinct()
@@ -38,10 +46,11 @@ def content_search(tags: DataFrame, docs: DataFrame, edges: DataFrame, query: st
     empty = "rel_file string, line int, name string, matched long, score double"
     if not words:
         return tags.sparkSession.createDataFrame([], empty)
-    spans = def_spans(tags, docs)
+    spans, edges = cut(def_spans(tags, docs)), cut(edges)  # both are read several times
     hit = lambda name: F.filter(F.array_distinct(F.transform(tokens(name), canonical)), lambda t: t.isin(*words))
     names = spans.select("rel_file", "line", "name", F.explode(hit(F.col("name"))).alias("token"), F.lit(WEIGHTS["name"]).alias("w"))
-    lines = docs.filter("rel_file is not null and text is not null").select("rel_file", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    lines = nth(docs.filter("rel_file is not null and text is not null"), tags.sparkSession.sparkContext.defaultParallelism).select("rel_file", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    lines = lines.filter(F.lower("s").rlike("|".join(map(re.escape, spellings(words)))))  # few lines are taken apart
     ident = F.flatten(F.transform(F.regexp_extract_all("s", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda x: F.transform(tokens(x), canonical)))
     said = lines.select("rel_file", (F.col("i") + 1).alias("at"), F.explode(F.filter(F.array_distinct(ident), lambda t: t.isin(*words))).alias("token")).distinct()
     near = spans.join(said, "rel_file").filter(F.col("at").between(F.col("line"), F.col("end_line"))).select("rel_file", "line", "name", "token", F.lit(WEIGHTS["near"]).alias("w"))

@@ -958,19 +958,21 @@ def symbols_by_file_rel(s, d):
 
 
 def _texts(s, d):
-    return nth(load(s, d, "documents", "rel_file", "text").filter("rel_file is not null and text is not null").distinct(), s.sparkContext.defaultParallelism)
+    """The texts of files, on one partition a core at least: what follows is Python work."""
+    t = load(s, d, "documents", "rel_file", "text").filter("rel_file is not null and text is not null")
+    return nth(t, s.sparkContext.defaultParallelism)
 
 
 @query("tags_extract")
 def tags_extract(s, d):
-    return extract.tags(_texts(s, d))
+    return extract.tags(_texts(s, d)).distinct()
 
 
 @query("symbols_extract")
 def symbols_extract(s, d):
-    return extract.symbols(_texts(s, d))
+    return extract.symbols(_texts(s, d)).distinct()
 
 
 @query("imports_extract")
 def imports_extract(s, d):
-    return extract.imports(_texts(s, d))
+    return extract.imports(_texts(s, d)).distinct()
