@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on as many partitions as there are cores, if its files gave fewer: Python work then uses all of them."""
+    """``df`` on as many partitions as there are cores, if its files gave fewer: Python work then uses all of them.
+
+    ``df`` must come straight from files: to count the partitions of a shuffled frame Spark would run its shuffle.
+    """
     sc = df.sparkSession.sparkContext
     n = sc.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

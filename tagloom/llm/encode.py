@@ -162,4 +162,4 @@ def token_counts(docs: DataFrame, keep: list[str], vocab: str = VOCAB) -> DataFr
             n = [count_tokens(t, vocab) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
-    return spread(docs.select(*keep, "text")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", tokens long")
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", tokens long")

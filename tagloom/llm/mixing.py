@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tagloom.llm.common import spread
 from tagloom.llm.encode import VOCAB, token_counts
 from tagloom.session import cut
 
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
 
 
 def targeted_tokens(docs: DataFrame, targets: DataFrame, vocab: str = VOCAB) -> DataFrame:
-    listed = docs.join(_targets(targets).select("source"), "source", "left_semi").filter("text is not null")
+    listed = spread(docs.filter("text is not null and source is not null")).join(_targets(targets).select("source"), "source", "left_semi")
     return cut(token_counts(listed, ["doc_id", "source"], vocab).filter("tokens > 0"))
 
 
