@@ -12,7 +12,7 @@ def spark():
     from tagloom.session import build_session
 
     s = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__ui__showConsoleProgress="false", spark__default__parallelism="4"
+        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false", spark__driver__memory="4g", spark__ui__showConsoleProgress="false", spark__default__parallelism="4"
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
