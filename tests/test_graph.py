@@ -57,9 +57,9 @@ def test_ranks_of_nothing_and_of_leaks(spark):
 
 def test_start_is_forgotten_and_teleport_is_not(spark):
     es, w = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], spark.createDataFrame([("d", 100.0)], "rel_file string, weight double")
-    plain = ranked(spark, es, "abcd")
-    assert ranked(spark, es, "abcd", start=w) == pytest.approx(plain, abs=1e-5)
-    assert ranked(spark, es, "abcd", teleport=w)["d"] > plain["d"]
+    plain = ranked(spark, es, "abcd", alpha=0.5)
+    assert ranked(spark, es, "abcd", alpha=0.5, start=w) == pytest.approx(plain, abs=1e-5)
+    assert ranked(spark, es, "abcd", alpha=0.5, teleport=w)["d"] > plain["d"]
 
 
 def test_boosts_dedupe_and_prefix(spark, rows):
