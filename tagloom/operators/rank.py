@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom.functions.text import is_test
 from tagloom.session import cut
@@ -69,11 +69,12 @@ def pagerank(
     return raw.select("rel_file", (F.col("raw") / F.lit(total)).alias("rank"))
 
 
-def boosted(ranks: DataFrame, tags: DataFrame, idents: list[str] = (), files: list[str] = (), chat: list[str] = (), least: float | None = None) -> DataFrame:
+def boosted(ranks: DataFrame, tags: DataFrame, idents: list[str] = (), files: list[str] = (), chat: list[str] | Column = (), least: float | None = None) -> DataFrame:
     """``rank, rel_file, line, name, kind``: definitions with the rank of their file, times 10 for a mentioned identifier, 5 for a mentioned file, 20 for a file
-    under discussion. ``least`` drops files ranked no higher. Repeats keep their first row."""
+    under discussion (``chat``: names, or a condition on ``rel_file``). ``least`` drops files ranked no higher. Repeats keep their first row."""
     kept = ranks.filter(F.col("rank") > least) if least is not None else ranks
-    b = F.col("rank") * F.when(F.col("name").isin(*idents), 10.0).otherwise(1.0) * F.when(F.col("rel_file").isin(*files), 5.0).otherwise(1.0) * F.when(F.col("rel_file").isin(*chat), 20.0).otherwise(1.0)
+    open_ = chat if isinstance(chat, Column) else F.col("rel_file").isin(*chat)
+    b = F.col("rank") * F.when(F.col("name").isin(*idents), 10.0).otherwise(1.0) * F.when(F.col("rel_file").isin(*files), 5.0).otherwise(1.0) * F.when(open_, 20.0).otherwise(1.0)
     d = tags.filter("kind = 'def' and name is not null").select("rel_file", "line", "name", "kind").distinct()
     return d.join(kept, "rel_file").select(b.alias("rank"), "rel_file", "line", "name", "kind")
 

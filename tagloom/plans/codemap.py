@@ -455,8 +455,7 @@ _BOOST = "k.rank * CASE WHEN t.name IN ('init', 'close') THEN 10.0 ELSE 1.0 END
 
 @query("ranked_tags_boosted", f"SELECT round({_BOOST}, 9) AS rank, t.rel_file, t.line, t.name, t.kind FROM (SELECT DISTINCT rel_file, line, name, kind FROM tags WHERE kind = 'def' AND name IS NOT NULL) t JOIN ({_RANKS}) k ON t.rel_file = k.rel_file ORDER BY {_BOOST} DESC, t.rel_file, t.line, t.name LIMIT 500")
 def ranked_tags_boosted(s, d):
-    chat = [r[0] for r in load(s, d, "file_ranks", "rel_file").filter("rel_file like 'quillstone/tools/%'").distinct().orderBy("rel_file").collect()]  # the files a user has open
-    b = rank.boosted(_stored_ranks(s, d), _tags(s, d), idents=["init", "close"], chat=chat)
+    b = rank.boosted(_stored_ranks(s, d), _tags(s, d), idents=["init", "close"], chat=F.col("rel_file").like("quillstone/tools/%"))
     return b.orderBy(F.desc("rank"), "rel_file", "line", "name").limit(500).withColumn("rank", F.round("rank", 9))
 
 
