@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions.text import EXTENSIONS
+from tagloom.session import ship
 
 _NAME = r"[A-Za-z_$][\w$]*"
 #: Per language (pattern, symbol type); the group is the name.
@@ -131,6 +132,7 @@ def extract(files: DataFrame) -> DataFrame:
             rows = [(p, *r) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if p for r in extract_text(p, t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
+    ship(files.sparkSession)
     return files.select("rel_file", "text").mapInArrow(run, "rel_file string, line int, end_line int, name string, kind string, type string, signature string, docstring string")
 
 
@@ -221,4 +223,5 @@ def imports(files: DataFrame) -> DataFrame:
             rows = [(p, *r) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if p for r in imports_of(p, t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
 
+    ship(files.sparkSession)
     return files.select("rel_file", "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, "string string string string boolean boolean boolean int".split())))
