@@ -799,6 +799,21 @@ def qualified_fanout(s, d):
     return resolve.qualified_fanout(o)
 
 
+@query("import_resolve_all")
+def import_resolve_all(s, d):
+    """``import_resolve`` over the imports of all languages; that one, as its SQL, reads plain one-name lines of Python only."""
+    b = imports_extract(s, d).filter("not is_star")
+    every = _texts(s, d).select(F.col("rel_file").alias("source_file"), F.lit("window").alias("name"))
+    return resolve.resolve_imports(b.select("source_file", F.col("local_name").alias("name")).unionByName(every), b)
+
+
+@query("qualified_fanout_all")
+def qualified_fanout_all(s, d):
+    """``qualified_fanout`` over the imports of all languages."""
+    o = imports_extract(s, d).filter("not is_star").groupBy("source_file", F.col("local_name").alias("name")).agg(F.min("qualified_name").alias("qualified_name"), F.count_distinct("qualified_name").alias("n")).filter("n = 1")
+    return resolve.qualified_fanout(o)
+
+
 @query("bare_name_fallback", f"""
     WITH q AS (SELECT DISTINCT name AS query FROM tags WHERE name LIKE '%::%'), t AS (SELECT DISTINCT name, rel_file, line FROM tags WHERE kind = 'ref' AND name IS NOT NULL),
     e AS (SELECT q.query, t.name, t.rel_file, t.line, false AS fallback FROM q JOIN t ON q.query = t.name)

@@ -59,3 +59,25 @@ def test_stream(spark, tmp_path):
     put(("a.py", "def three():\n    pass\n", 2, 2))
     index.start(spark, land, root).awaitTermination()
     assert sorted(r.name for r in index.current_tags(spark, root).filter("kind = 'def'").collect()) == ["three", "two"]
+
+
+def test_imports_of_all_languages_are_resolved(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    docs = [
+        ("r/a.py", "import os.path as osp\nfrom m import (x)  # why\n    from n import y, z as w\nfrom k import *\n"), ("r/a.js", "import d, { e as f } from 'm';\n"), ("r/a.ts", "import { e as f } from './other';\n"),
+        ("r/A.java", "import a.b.C;\nimport a.b.*;\n"), ("r/a.go", 'import (\n\tg "a/h"\n)\n'), ("r/a.rs", "use a::{b, c as i};\n"), ("r/a.c", "#include <stdio.h>\n"), ("r/none.py", ""), ("r/null.py", None), (None, "import os\n"),
+    ]
+    spark.createDataFrame(docs, "rel_file string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bound = [(p, r[0], r[1]) for p, t in docs if p for r in extract.imports_of(p, t) if not r[4]]
+    own, every = {}, {}
+    for p, name, q in bound:
+        own.setdefault((p, name), set()).add(q)
+        every.setdefault(name, set()).add(q)
+    names = set(own) | {(p, "window") for p, t in docs if p and t is not None}
+    expected = {(p, n, *((min(own[p, n]), 1.0) if len(own.get((p, n), ())) == 1 else (n, 0.0))) for p, n in names}
+    assert {tuple(r) for r in catalog.QUERIES["import_resolve_all"](spark, str(tmp_path)).collect()} == expected
+    assert {("r/a.js", "f", "m.e", 1.0), ("r/A.java", "C", "a.b.C", 1.0), ("r/a.rs", "i", "a::c", 1.0), ("r/a.go", "g", "a/h", 1.0), ("r/a.py", "w", "n.z", 1.0), ("r/a.c", "window", "window", 0.0)} <= expected
+    fanned = {(p, x) for (p, n), qs in own.items() if len(qs) == 1 for x in (n, *qs)}
+    assert {tuple(r) for r in catalog.QUERIES["qualified_fanout_all"](spark, str(tmp_path)).collect()} == fanned
+    assert "import_resolve_all" not in catalog.SQL and "qualified_fanout_all" not in catalog.SQL
