@@ -85,6 +85,16 @@ def chunk_caps(files: int, start: int = 5000, step: int = 5000, most: int = 50)
     return out
 
 
+def chunk_plan(files: DataFrame, step: int = 5000) -> DataFrame:
+    """``chunk, cap, new_files`` of a resumable scan in chunks of ``step`` files, as many as it takes: the last cap is the number of different files.
+
+    Null names are no files. No files give no rows.
+    """
+    n = files.select("rel_file").filter("rel_file is not null").distinct().count()
+    cap = lambda i: F.least(F.lit(n), i * F.lit(step)).cast("long")
+    return files.sparkSession.range(1, -(-n // step) + 1).select(F.col("id").alias("chunk"), cap(F.col("id")).alias("cap"), (cap(F.col("id")) - cap(F.col("id") - 1)).alias("new_files"))
+
+
 def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by file: rows of files that ``new`` has replace those of ``old``."""
     return old.join(new.select("rel_file").distinct(), "rel_file", "left_anti").unionByName(new)

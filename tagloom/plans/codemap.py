@@ -920,6 +920,14 @@ def chunk_resume_plan(s, d):
     return s.createDataFrame([(i + 1, c, c - ([0] + caps)[i]) for i, c in enumerate(caps)], "chunk long, cap long, new_files long")
 
 
+@query("chunk_resume_plan_all", """
+    WITH n AS (SELECT count(DISTINCT rel_file) AS n FROM documents WHERE rel_file IS NOT NULL), c AS (SELECT n, unnest(range(1, (n + 99) // 100 + 1)) AS i FROM n)
+    SELECT CAST(i AS BIGINT) AS chunk, CAST(least(n, 100 * i) AS BIGINT) AS cap, CAST(least(n, 100 * i) - 100 * (i - 1) AS BIGINT) AS new_files FROM c""")
+def chunk_resume_plan_all(s, d):
+    """``chunk_resume_plan`` to the last file; that one, as its SQL, ends at 50 chunks."""
+    return snapshot.chunk_plan(load(s, d, "documents", "rel_file"), 100)
+
+
 @query("coverage_audit", """
     WITH f AS (SELECT DISTINCT rel_file FROM documents WHERE rel_file IS NOT NULL), t AS (SELECT DISTINCT rel_file FROM tags WHERE rel_file IS NOT NULL), r AS (SELECT DISTINCT rel_file FROM file_ranks WHERE rel_file IS NOT NULL AND rank IS NOT NULL)
     SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM t) AS tagged, (SELECT count(*) FROM f ANTI JOIN t USING (rel_file)) AS unscanned, (SELECT count(*) FROM t ANTI JOIN f USING (rel_file)) AS stale,

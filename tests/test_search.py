@@ -92,6 +92,21 @@ def test_snapshots(spark, rows):
     assert snapshot.chunk_caps(12_000) == [5000, 10000, 12000] and len(snapshot.chunk_caps(10**9)) == 50
 
 
+def test_chunks_reach_the_last_file(spark, tmp_path):
+    import duckdb
+
+    from tagloom.plans import catalog
+
+    f = spark.range(6_001).selectExpr("concat('f', id) as rel_file")
+    f.unionByName(f.limit(9)).unionByName(spark.sql("select cast(null as string) as rel_file")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["chunk_resume_plan_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, min(6_001, 100 * i), 100 if i < 61 else 1) for i in range(1, 62)]
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(catalog.SQL["chunk_resume_plan_all"]).fetchall()) == got
+    assert [tuple(r) for r in snapshot.chunk_plan(f, 10_000).collect()] == [(1, 6_001, 6_001)] and snapshot.chunk_plan(f.limit(0)).count() == 0
+
+
 def test_flags(spark, rows):
     f = "rel_file string, reason string"
     old, new = spark.createDataFrame([("a.sql", "no-grammar"), ("b", "empty"), (None, "x")], f), spark.createDataFrame([("b", "missing")], f)
