@@ -184,8 +184,8 @@ def template_of(text: str, name: str | None) -> tuple[str, int]:
     return low, low.count(" ") + bool(low) + sum(c >= "\u2e80" for c in low)
 
 
-#: A description is a template if so many rows and this share of all described rows have it, and it has no more words than that.
-TEMPLATE_ROWS, TEMPLATE_SHARE, TEMPLATE_WORDS = 20, 0.001, 3
+#: A description is a template if so many different symbols of one repository have it, whatever the size of the table, and it has no more words than that.
+TEMPLATE_SYMBOLS, TEMPLATE_WORDS = 20, 3
 
 
 def _language(path: str | None, said: str | None) -> str | None:
@@ -261,16 +261,15 @@ def described_symbols(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """``file, line, name, language, doc`` of each symbol with code and telling documentation; one row a key (file, line, name).
 
     A key has code if any of its rows has a body that is not blank, and documentation if that of any of its rows is not trivial. Trivial is what ``trivial``
-    says, and short descriptions that many symbols share (their templates are counted by hash over all rows). Where several rows of a key have
+    says, and short descriptions that many symbols of a repository share (keys are counted by hash of the template, each once however often its rows are repeated). Where several rows of a key have
     telling documentation, the longest, then the first by text, comes out. Null parts of a key are equal to each other. Empty tables give no rows; without documents
     only docstrings and bodies speak.
     """
     rows = cut(documentation(symbols, docs))
-    telling = rows.filter("not trivial")
-    n = telling.count()
-    short = telling.filter(F.col("words") <= TEMPLATE_WORDS)
-    common = short.groupBy(F.xxhash64("template").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") >= max(TEMPLATE_ROWS, TEMPLATE_SHARE * n)).select("h")
-    key = F.when((F.col("words") <= TEMPLATE_WORDS) & ~F.col("trivial"), F.xxhash64("template"))
+    repo = F.substring_index(rel_of(F.col("file")), "/", 1)
+    key = F.when((F.col("words") <= TEMPLATE_WORDS) & ~F.col("trivial"), F.xxhash64("template", repo))
+    symbols_of = rows.select(key.alias("h"), "file", "line", "name").filter("h is not null").distinct()
+    common = symbols_of.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_SYMBOLS).select("h")
     marked = rows.withColumn("h", key).join(common.withColumn("common", F.lit(True)), "h", "left")
     ok = F.coalesce(~F.col("trivial") & F.col("common").isNull(), F.lit(False))
     best = marked.groupBy("file", "line", "name").agg(

@@ -70,3 +70,15 @@ def test_short_templates_are_dropped(spark):
     rows = [(f"/srv/mirror/r/f{i}.py", 1, f"name{i}", "function", "Handles things.", "python", "def x():\n  pass") for i in range(30)] + [("/srv/mirror/r/z.py", 1, "z", "function", "Frees what the last call left behind.", "python", "def z():\n  pass")] * 30
     got = [r.name for r in D.described_symbols(symbols(spark, *rows), spark.createDataFrame([], "rel_file string, text string")).collect()]
     assert got == ["z"]
+
+
+def test_templates_count_symbols_not_rows(spark):
+    row = lambda repo, i, doc, name=None: (f"/srv/mirror/{repo}/f{i}.py", 1, name or f"{repo}{i}", "function", doc, "python", "def x():\n  pass")
+    repeated = [row("q", 0, "Drops stale rows.", "one")] * 40
+    shared = [row("r", i, "Handles things.") for i in range(25)]
+    spread_out = [row(f"s{i}", 0, "Frees old pages.", f"free{i}") for i in range(25)]
+    others = [row("z", i, f"Frees what call number {i} left behind.") for i in range(30_000)]
+    none = spark.createDataFrame([], "rel_file string, text string")
+    for more in ([], others):
+        got = {r.name for r in D.described_symbols(symbols(spark, *repeated, *shared, *spread_out, *more), none).collect()}
+        assert {n for n in got if n[0] != "z"} == {"one", *(f"free{i}" for i in range(25))} and len(got) == 26 + len(more)
