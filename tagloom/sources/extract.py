@@ -149,13 +149,36 @@ def _row(local, qualified, module, from_, star, static, line):
     return (local, qualified, module, from_, star, static, line)
 
 
+#: Statements that may go over several lines: their braces or brackets, to the end of the last line.
+_OVER_LINES = {
+    "python": re.compile(r"^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\([^)]*\)[^\n]*|^[ \t]*(?:from|import)\b[^\n]*\\\n(?:[^\n]*\\\n)*[^\n]*", re.M),
+    "javascript": re.compile(r"^[ \t]*import\b[^;'\"{}()]*\{[^}]*\}[^;'\"{}()]*['\"][^\n]*|^[ \t]*(?:const|let|var)\s*\{[^}]*\}\s*=\s*require\b[^\n]*", re.M),
+    "rust": re.compile(r"^[ \t]*(?:pub[ \t]+)?use\b[^;{]*\{[^;]*\}[ \t]*;[^\n]*", re.M),
+}
+_OVER_LINES["typescript"] = _OVER_LINES["javascript"]
+
+
+def _on_one_line(text: str, language: str) -> str:
+    """``text`` with each import statement on its first line; the lines after it keep their numbers."""
+
+    def join(m):
+        n = m[0].count("\n")
+        if not n:
+            return m[0]
+        mark = r"#[^\n]*" if language == "python" else r"//[^\n]*|/\*[\s\S]*?\*/"
+        one = re.sub(r"\\?\n", " ", re.sub(mark, "", m[0]))
+        return re.sub(r",?\s*\)", ")", re.sub(r"\(\s*", "(", one)) + "\n" * n
+
+    return _OVER_LINES[language].sub(join, text) if language in _OVER_LINES else text
+
+
 def imports_of(path: str, text: str | None) -> list[tuple]:
     """(local name, qualified name, module, from-import, star, static, line) of each import of a text."""
     language = language_of(path)
     if not text or not language:
         return []
     out = []
-    for n, l in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
+    for n, l in enumerate(_on_one_line(text.replace("\r\n", "\n").replace("\r", "\n"), language).split("\n"), 1):
         s = l.strip()
         if language == "python":
             if m := re.fullmatch(r"import\s+(.+?)(?:\s*#.*)?", s):

@@ -81,3 +81,12 @@ def test_imports_of_all_languages_are_resolved(spark, tmp_path):
     fanned = {(p, x) for (p, n), qs in own.items() if len(qs) == 1 for x in (n, *qs)}
     assert {tuple(r) for r in catalog.QUERIES["qualified_fanout_all"](spark, str(tmp_path)).collect()} == fanned
     assert "import_resolve_all" not in catalog.SQL and "qualified_fanout_all" not in catalog.SQL
+
+
+@pytest.mark.parametrize(("path", "text", "bound"), [
+    ("a.py", "from m import (\n    x,  # why\n    y as z,\n)\nimport os\n", [("x", "m.x", 1), ("z", "m.y", 1), ("os", "os", 5)]), ("a.py", "from m import x, \\\n    y\n", [("x", "m.x", 1), ("y", "m.y", 1)]),
+    ("a.js", "import {\n  a,\n  b as c, // why\n} from 'm';\nimport d from 'n';\n", [("a", "m.a", 1), ("c", "m.b", 1), ("d", "n.default", 5)]), ("a.ts", "import type {\n  A,\n} from \"m\";\n", [("A", "m.A", 1)]),
+    ("a.js", "const {\n  x,\n} = require('m');\n", [("x", "m.x", 1)]), ("a.rs", "use a::{\n    b,\n    c as d,\n};\nuse e::f;\n", [("b", "a::b", 1), ("d", "a::c", 1), ("f", "e::f", 5)]),
+])
+def test_imports_over_several_lines(path, text, bound):
+    assert [(r[0], r[1], r[6]) for r in extract.imports_of(path, text)] == bound
