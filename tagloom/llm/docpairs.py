@@ -3,110 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.llm.common import spread
-from tagloom.llm.gll import Grammar
+from tagloom.llm.functions import functions_of
+from tagloom.llm.minhash import TokenIds
 from tagloom.llm.syntax import LANGUAGES
 from tagloom.session import cut
 from tagloom.tables import rel_of
 
-#: Lines by class: l line comment, o one-line block comment, b m e its first, middle and last line, a annotation, s what follows.
-_GRAMMAR = Grammar({
-    "Unit": [["Above", "s"], ["Annotations", "s"]],
-    "Above": [["Annotations", "Doc", "Annotations"]],
-    "Annotations": [[], ["a", "Annotations"]],
-    "Doc": [["Lines"], ["Block"], ["Lines", "Doc"], ["Block", "Doc"]],
-    "Lines": [["l"], ["l", "Lines"]],
-    "Block": [["o"], ["b", "Inner", "e"]],
-    "Inner": [[], ["m", "Inner"]],
-})
-_HASH, _SLASH = {"python", "ruby"}, {"javascript", "typescript", "go", "java", "rust", "c"}
-_WINDOW = {
-    "hash": re.compile(r"(?:^[ \t]*(?:#[^\n]*|@[\w.]+(?:\([^\n]*\))?[ \t]*)\n)+", re.M),
-    "slash": re.compile(r"(?:^[ \t]*(?://[^\n]*|/\*[\s\S]*?\*/[ \t]*|@[\w.]+(?:\([^\n]*\))?[ \t]*|#!?\[[^\n]*\][ \t]*)\n)+", re.M),
-}
-_NO_SYMBOL = re.compile(r"[ \t]*(?:$|\n|[}\])]|(?:if|for|while|return|else|elif|elsif|switch|case|break|continue|end|try|do|import|from|require|package|use)\b|#include)")
-
-
-def _classes(window: str, slash: bool) -> tuple[list[str], str]:
-    """The lines of a run of comments and annotations, and their classes."""
-    lines, out, inside = window.split("\n"), [], False
-    for x in lines:
-        s = x.strip()
-        if inside:
-            inside = "*/" not in s
-            out.append("m" if inside else "e")
-        elif slash and s.startswith("/*"):
-            inside = "*/" not in s[2:]
-            out.append("b" if inside else "o")
-        elif s.startswith("//" if slash else "#"):
-            out.append("l")
-        else:
-            out.append("a")
-    return lines, "".join(out)
-
-
-def _doc_of(window: str, slash: bool) -> str | None:
-    """The comment that stands directly above what follows the window; where the window does not parse, that of its longest end that does."""
-    lines, classes = _classes(window, slash)
-    for at in range(len(lines)):
-        part = _GRAMMAR.longest("Unit", "Doc", classes[at:] + "s")
-        if part:
-            return "\n".join(lines[at + part[0] : at + part[1]])
-        if classes[at:].count("a") == len(classes) - at:
-            return None
-    return None
-
-
-def comments_above(text: str, language: str) -> list[tuple[int, str]]:
-    """(line, comment) for each line with a comment directly above it; annotations may stand between, a blank line may not."""
-    slash = language in _SLASH
-    if "\r" in text:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-    out, line, at = [], 1, 0
-    for m in _WINDOW["slash" if slash else "hash"].finditer(text):
-        line += text.count("\n", at, m.end())
-        at = m.end()
-        if not _NO_SYMBOL.match(text, at) and at < len(text):
-            doc = _doc_of(m.group()[:-1], slash)
-            if doc:
-                out.append((line, doc))
-    return out
-
-
-_PY_OPEN = re.compile(r"[^\n]*?:[ \t]*(?:#[^\n]*)?\n\s*")
-_PY_SIGNATURE = re.compile(r"\s*(?:@[^\n]*\n\s*)*(?:async\s+)?(?:def|class)\b[^(:\n]*(?:\((?:[^()]|\([^()]*\))*\))?[^:\n]*:[ \t]*(?:#[^\n]*)?\n?[ \t\n]*")
-_PY_STRING = re.compile(r"[rRuUbB]{0,2}(?:\"\"\"([\s\S]*?)(?:\"\"\"|\Z)|'''([\s\S]*?)(?:'''|\Z)|\"([^\"\\\n]*(?:\\.[^\"\\\n]*)*)\"[ \t]*(?:\n|\Z)|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'[ \t]*(?:\n|\Z))")
-_HASHES = re.compile(r"(?:#[^\n]*(?:\n[ \t]*|\Z))+")
-_SLASHES = re.compile(r"(?://[^\n]*(?:\n[ \t]*|\Z))+|/\*[\s\S]*?(?:\*/|\Z)")
-_BRACE_OPEN = re.compile(r"[^{\n]*(?:\n[^{\n]*){0,8}?\{\s*")
-_RUBY_OPEN = re.compile(r"[^\n]*\n\s*")
-
-
-def doc_in_body(body: str, language: str | None) -> str | None:
-    """The documentation string or comment that opens a body, whose first line is the signature; None if it opens with code."""
-    body = body.replace("\r\n", "\n").replace("\r", "\n")
-    if language == "python":
-        m = _PY_SIGNATURE.match(body) or _PY_OPEN.match(body)
-        if not m:
-            return None
-        s = _PY_STRING.match(body, m.end())
-        if s:
-            return next(g for g in s.groups() if g is not None)
-        c = _HASHES.match(body, m.end())
-    elif language == "ruby":
-        m = _RUBY_OPEN.match(body)
-        c = m and _HASHES.match(body, m.end())
-    else:
-        m = _BRACE_OPEN.match(body)
-        c = m and _SLASHES.match(body, m.end())
-    return c.group() if c else None
-
-
 _MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|//[/!]?|#+|--+(?=[ \t])|\"\"\"|'''|<!--|=begin|=end)?[ \t]?|[ \t]*(?:\*+/|\"\"\"|'''|-->)[ \t]*$", re.M)
 
 
@@ -174,18 +83,26 @@ def trivial(text: str, name: str | None, signature: str | None) -> bool:
 _SPACES = re.compile(r"[\W\d_]+")
 
 
-def template_of(text: str, name: str | None) -> tuple[str, int]:
-    """What repeated descriptions have in common: case, marks, digits and the symbol's own name aside; and its number of words
-    (an ideograph or syllable sign counts as one)."""
+_IDS = TokenIds()
+#: A description with one word left open is a template of its own if that many words stay.
+SLOT_WORDS = 3
+#: A description is a template of the corpus if so many of all documented symbols share it, three standard deviations of its count allowed for.
+TEMPLATE_SHARE, DEVIATIONS = 0.002, 3.0
+
+
+def template_of(text: str, name: str | None) -> str:
+    """What repeated descriptions have in common: case, marks, digits and the symbol's own name aside."""
     low = text.lower()
     if name:
         low = low.replace(name.lower(), " ")
-    low = _SPACES.sub(" ", low).strip()
-    return low, low.count(" ") + bool(low) + sum(c >= "\u2e80" for c in low)
+    return _SPACES.sub(" ", low).strip()
 
 
-#: A description is a template if so many different symbols of one repository have it, whatever the size of the table, and it has no more words than that.
-TEMPLATE_SYMBOLS, TEMPLATE_WORDS = 20, 3
+def template_hashes(template: str) -> list[int]:
+    """The hash of a template, and those of it with each of its words left open."""
+    words = template.split(" ")
+    open_ = [" ".join([*words[:i], "*", *words[i + 1 :]]) for i in range(len(words))] if len(words) > SLOT_WORDS else []
+    return [_IDS[x] - (1 << 63) for x in (template, *open_)]
 
 
 def _language(path: str | None, said: str | None) -> str | None:
@@ -194,83 +111,125 @@ def _language(path: str | None, said: str | None) -> str | None:
     return known or LANGUAGES.get(low) or (low if low in LANGUAGES.values() else None)
 
 
-_ROW = "file string, line int, name string, language string, has_body boolean, doc string, trivial boolean, template string, words int"
+def opening_of(body: str, language: str | None) -> tuple[str | None, bool]:
+    """The documentation string or comment that opens a body, whose first line is the signature, and whether it is a string; None if it opens with code."""
+    found, _ = functions_of(body, language, fragment=True)
+    return (found[0].opening, found[0].is_string) if found else (None, False)
 
 
-def _judged(file, line, name, language, has_body, doc, signature):
-    if doc is None:
-        return (file, line, name, language, has_body, None, None, None, None)
-    t = trivial(doc, name, signature)
-    return (file, line, name, language, has_body, doc, t, *((None, None) if t else template_of(doc, name)))
+_COLUMNS = {"file": pa.string(), "line": pa.int32(), "name": pa.string(), "language": pa.string(), "has_body": pa.bool_(), "doc": pa.string(), "trivial": pa.bool_(), "template": pa.int64()}
+_ROW = "file string, line int, name string, language string, has_body boolean, doc string, trivial boolean, template long"
 
 
-_TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.string(), pa.int32()]
-_NAMES = ["file", "line", "name", "language", "has_body", "doc", "trivial", "template", "words"]
+def _judged(doc, name, signature):
+    return (doc, trivial(doc, name, signature), template_hashes(template_of(doc, name))[0]) if doc else (None, None, None)
 
 
-def _batch(rows, more=()):
-    columns = list(zip(*rows)) if rows else [()] * (len(_NAMES) + len(more))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*_TYPES, *(t for _, t in more)])], names=[*_NAMES, *(n for n, _ in more)])
+def _batch(rows, **more):
+    types = _COLUMNS | more
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
 def _own(batches):
-    """Symbols -> what their own row says of their documentation; ``doc`` null where only their file can tell."""
+    """Symbols -> what their own row says of their documentation; ``doc`` null where only their file can tell, ``slots`` set where an opening comment may be a remark."""
     for batch in batches:
         rows = []
         for file, line, name, signature, docstring, said, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
             language = _language(file, said)
-            has_body = bool(body and body.strip())
+            has_body, slots = bool(body and body.strip()), None
             doc = plain(docstring) if docstring else ""
             if not doc and has_body:
-                doc = plain(doc_in_body(body, language) or "")
-            rows.append((*_judged(file, line, name, language, has_body, doc or None, signature), signature))
-        yield _batch(rows, [("signature", pa.string())])
+                opening, string = opening_of(body, language)
+                doc = plain(opening or "")
+                slots = template_hashes(template_of(doc, None)) if doc and not string else None
+            rows.append((file, line, name, language, has_body, *_judged(doc or None, name, signature), signature, slots))
+        yield _batch(rows, signature=pa.string(), slots=pa.list_(pa.int64()))
 
 
-def _above(batches):
-    for batch in batches:
-        out = [(path, line, doc) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (lang := _language(path, None)) for line, doc in comments_above(text, lang)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [(), (), ()], (pa.string(), pa.int32(), pa.string()))], names=["rel_file", "at", "comment"])
+_PARSED = {"rel_file": pa.string(), "line": pa.int32(), "end_line": pa.int32(), "name": pa.string(), "signature": pa.string(), "complete": pa.bool_(), "above": pa.string(), "opening": pa.string(), "h": pa.int64(), "n": pa.int64()}
+
+
+def _parse(all_: bool):
+    """Files -> their functions (those with a comment above, or all of them), and how often a template stands as a remark inside bodies (rows without file)."""
+
+    def run(batches):
+        for batch in batches:
+            rows, remarks = [], Counter()
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, inner = functions_of(text, _language(path, None))
+                rows += [(path, f.line, f.end_line, f.name, f.signature if all_ else None, f.complete, f.above, f.opening if all_ else None, None, None) for f in found if all_ or f.above]
+                for r in () if all_ else inner:
+                    remarks.update(template_hashes(template_of(plain(r), None)))
+            rows += [(None,) * 8 + x for x in remarks.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_PARSED), _PARSED.values())], names=list(_PARSED))
+
+    return run
+
+
+def parsed(docs: DataFrame, all_: bool = True) -> DataFrame:
+    """``rel_file, line, end_line, name, signature, complete, above, opening`` of the functions of each file: see ``functions_of``; remarks in ``h, n`` unless ``all_``."""
+    code = docs.select("rel_file", "text").filter("rel_file is not null and text is not null and text != ''")
+    return spread(code).mapInArrow(_parse(all_), "rel_file string, line int, end_line int, name string, signature string, complete boolean, above string, opening string, h long, n long")
 
 
 def _judge_above(batches):
     for batch in batches:
-        yield _batch([_judged(f, n, name, lang, b, plain(c) or None, sig) for f, n, name, lang, b, sig, c in zip(*(batch.column(i).to_pylist() for i in range(7)))])
+        yield _batch([(f, n, name, lang, b, *_judged(plain(c) or None, name, sig)) for f, n, name, lang, b, sig, c in zip(*(batch.column(i).to_pylist() for i in range(7)))])
+
+
+def _remarks(opened: DataFrame, inner: DataFrame) -> DataFrame:
+    """``rid`` of the opening comments that are remarks on the statement below: their template stands more often elsewhere in bodies than it opens one."""
+    slots = opened.select("rid", F.explode("slots").alias("h"))
+    opens = slots.groupBy("h").agg(F.count("*").alias("opens"))
+    often = inner.groupBy("h").agg(F.sum("n").alias("inside")).join(opens, "h").filter("inside > opens").select("h")
+    return slots.join(often, "h", "left_semi").select("rid").distinct()
 
 
 def documentation(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """Each row of ``symbols`` of type function or method with its documentation, judged; see ``_ROW``.
 
     ``doc`` is the docstring; where that is blank, the documentation string or comment that opens the body; where there is none, the comment directly above the
-    symbol's line in the text of its file, null if there is none either. Comments above are found by a generalised LL parse of the lines around each
-    declaration, so a file that is broken elsewhere still gives them, and come in by a join on (file, line).
+    symbol's line in the text of its file, null if there is none either. Bodies and files are parsed by the grammars of ``functions``, so a file that is broken in one place
+    still gives its other functions; comments above come in by a join on (file, line). A comment at the opening of a body whose template (any one word open) stands
+    more often elsewhere inside bodies is a remark on the next statement, no documentation.
     """
     f = symbols.filter(F.col("type").isin("function", "method")).select("file", F.col("line").cast("int").alias("line"), "name", "signature", "docstring", "language", "body")
-    own = cut(spread(f).mapInArrow(_own, _ROW + ", signature string"))
-    said = own.filter("doc is not null").drop("signature")
-    code = docs.select("rel_file", "text").filter("rel_file is not null and text is not null and text != ''")
-    above = spread(code).mapInArrow(_above, "rel_file string, at int, comment string").distinct()
-    silent = own.filter("doc is null").withColumn("rel_file", rel_of(F.col("file")))
-    joined = silent.join(above, (silent["rel_file"] == above["rel_file"]) & (silent["line"] == above["at"]), "left").select("file", "line", "name", "language", "has_body", "signature", "comment")
+    own = cut(spread(f).mapInArrow(_own, _ROW + ", signature string, slots array<long>")).withColumn("rid", F.xxhash64("file", "line", "name", "doc"))
+    read = cut(parsed(docs, all_=False))
+    opened = own.filter("slots is not null")
+    remark = _remarks(opened, read.filter("h is not null").select("h", "n"))
+    above = read.filter("rel_file is not null").select("rel_file", F.col("line").alias("at"), F.col("above").alias("comment")).distinct()
+    rest = opened.join(remark, "rid", "left_semi").unionByName(own.filter("doc is null")).withColumn("rel_file", rel_of(F.col("file")))
+    joined = rest.join(above, (rest["rel_file"] == above["rel_file"]) & (rest["line"] == above["at"]), "left").select("file", "line", "name", "language", "has_body", "signature", "comment")
     heard = joined.filter("comment is not null").mapInArrow(_judge_above, _ROW)
-    mute = joined.filter("comment is null").select("file", "line", "name", "language", "has_body", *(F.lit(None).cast(t).alias(n) for n, t in (("doc", "string"), ("trivial", "boolean"), ("template", "string"), ("words", "int"))))
-    return said.unionByName(heard).unionByName(mute)
+    mute = joined.filter("comment is null").select("file", "line", "name", "language", "has_body", *(F.lit(None).cast(t).alias(n) for n, t in (("doc", "string"), ("trivial", "boolean"), ("template", "long"))))
+    said = own.filter("doc is not null and slots is null").unionByName(opened.join(remark, "rid", "left_anti"))
+    return said.drop("signature", "slots", "rid").unionByName(heard).unionByName(mute)
+
+
+def corpus_templates(rows: DataFrame) -> DataFrame:
+    """``template, n`` of the descriptions that a share of all documented symbols have, each symbol counted once; at most 1 / TEMPLATE_SHARE of them.
+
+    One rule for every size: the count less three standard deviations has to reach the share, so what some few symbols of a small table have in common is none.
+    """
+    of = rows.filter("template is not null").select("template", F.xxhash64("file", "line", "name").alias("k")).distinct()
+    counts = cut(of.groupBy("template").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") - F.lit(DEVIATIONS) * F.sqrt("n") >= F.lit(TEMPLATE_SHARE * total))
 
 
 def described_symbols(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """``file, line, name, language, doc`` of each symbol with code and telling documentation; one row a key (file, line, name).
 
     A key has code if any of its rows has a body that is not blank, and documentation if that of any of its rows is not trivial. Trivial is what ``trivial``
-    says, and short descriptions that many symbols of a repository share (keys are counted by hash of the template, each once however often its rows are repeated). Where several rows of a key have
+    says, and what ``corpus_templates`` finds by hash counts. Where several rows of a key have
     telling documentation, the longest, then the first by text, comes out. Null parts of a key are equal to each other. Empty tables give no rows; without documents
     only docstrings and bodies speak.
     """
     rows = cut(documentation(symbols, docs))
-    repo = F.substring_index(rel_of(F.col("file")), "/", 1)
-    key = F.when((F.col("words") <= TEMPLATE_WORDS) & ~F.col("trivial"), F.xxhash64("template", repo))
-    symbols_of = rows.select(key.alias("h"), "file", "line", "name").filter("h is not null").distinct()
-    common = symbols_of.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_SYMBOLS).select("h")
-    marked = rows.withColumn("h", key).join(common.withColumn("common", F.lit(True)), "h", "left")
+    common = corpus_templates(rows).select("template", F.lit(True).alias("common"))
+    marked = rows.join(F.broadcast(common), "template", "left")  # bounded: each of them holds a share of all symbols
     ok = F.coalesce(~F.col("trivial") & F.col("common").isNull(), F.lit(False))
     best = marked.groupBy("file", "line", "name").agg(
         F.bool_or("has_body").alias("has_body"), F.max_by(F.when(ok, F.col("doc")), F.when(ok, F.struct(F.length("doc"), F.col("doc")))).alias("doc"), F.max("language").alias("language")

@@ -21,6 +21,11 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(load(spark, d, "symbols", *SYMBOL), load(spark, d, "documents", "rel_file", "text"))
 
 
+def p1_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions of every file, those of broken files too, with extent, head and comments."""
+    return docpairs.parsed(load(spark, d, "documents", "rel_file", "text")).drop("h", "n")
+
+
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(load(spark, d, "documents", "rel_file", "text"), load(spark, d, "lib_files", "lib_id", "file_name", "text"))
 
@@ -77,7 +82,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_functions": p1_functions, "p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 SQL: dict[str, str] = {
     "p9_found": r"""
