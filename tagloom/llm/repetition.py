@@ -231,6 +231,34 @@ def repetition(docs: DataFrame, share: float = SHARE, width: int = WORDS, sample
     return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", score double, anomalous boolean, candidate boolean")
 
 
-def repeated_documents(docs: DataFrame, share: float = SHARE, width: int = WORDS) -> DataFrame:
-    """``doc_id`` of the documents that the forest cannot rule out and whose repeated share is ``share`` or more."""
-    return repetition(docs, share, width).filter(F.col("candidate") & (F.col("repeated_words") >= share)).select("doc_id")
+def exact_share(words: list[str], width: int = WORDS) -> float:
+    """The share of words in a stretch of ``width`` words that also stands earlier, by the words themselves instead of hashes."""
+    seen, covered, until = set(), 0, 0
+    for i in range(len(words) - width + 1):
+        g = tuple(words[i : i + width])
+        if g in seen:
+            covered += i + width - max(i, until)
+            until = i + width
+        seen.add(g)
+    return covered / len(words) if words else 0.0
+
+
+def repeated_documents(docs: DataFrame, share: float = SHARE, width: int = WORDS, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id`` of the documents that the forest isolates early enough to be candidates and whose repeated share, counted on their words, is ``share`` or more.
+
+    The forest scores the statistics of every document, whose shares come from hashes; only the candidates, that is rows which reach the safe threshold, have their
+    stretches of words compared themselves. Null and empty texts are never found; repeated rows come out as often as they stand.
+    """
+    forest, _, safe = fit(docs, share, width, sample)
+    sent = docs.sparkSession.sparkContext.broadcast(forest)  # some thousand nodes, whatever the data
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                part = whole.slice(at, 1000)
+                texts = part.column("text").to_pylist()
+                scores = sent.value.scores(statistics_of(texts, width))
+                found = [i for i in np.flatnonzero(scores >= safe - 1e-12) if texts[i] and exact_share(words_of(texts[i]), width) >= share]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(found, pa.int64()))], names=["doc_id"])
+
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long")

@@ -38,6 +38,10 @@ _TEXT["typescript"] = _TEXT["javascript"]
 
 _MARKS = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: [^\n]*)?$|^={7}$", re.M)
 _BRACKETS = re.compile(r"[][(){}]").findall
+#: Delimiters and the directives that part a C text into branches.
+_BRANCHES = re.compile(r"^[ \t]*#[ \t]*(?P<d>if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b[^\n]*|^[ \t]*#[^\n]*|(?P<b>[][(){}])", re.M)
+#: More different stacks than branches of any real text leave open.
+MOST_STACKS = 256
 _PAIR = {")": "(", "]": "[", "}": "{"}
 #: No language here has these outside of strings and comments: symbols, controls and characters that stand for lost bytes.
 _STRAY = re.compile(r"[^\w\s\x20-\x7e‌‍﻿]|[\x00-\x08\x0e-\x1b\x7f]")
@@ -72,7 +76,12 @@ _DATA = re.compile(r"(?<![\w.$#])\d[\w.]*[ \t]+\d[\w.]*(?=[ \t\n]|\Z)|^[ \t]*-[
 _RUBY_WORD = re.compile(
     r"(?<![.:@$\w])(?P<loop>while|until|for)\b(?![?!:(=]|\s*=)|(?<![.:@$\w])(?P<cond>if|unless)\b(?![?!:]|\s*=[^=~])|(?<![.:@$\w])(?P<open>class|module|def|begin|case|do)\b(?![?!:=])|(?<![.:@$\w])(?P<end>end)\b(?![?!:=])|(?P<nl>\n)|(?P<semi>;)")
 _RUBY_ENDLESS = re.compile(r"[ \t]+(?:self\.)?\w+[?!]?[ \t]*(?:\([^()\n]*\))?[ \t]*=[ \t]")
-_RUBY_BEFORE = re.compile(r"(?:\A|[\n=(\[{;,|&!?:<>+*-]|\b(?:return|and|or|not|then|do|else|begin|ensure|elsif|when|in|unless|if|while|until))[ \t]*\Z")
+_RUBY_BEFORE = re.compile(r"(?:\A|[\n=(\[{;,|&!?:<>+*-]|\b(?:return|and|or|not|then|do|else|begin|ensure|elsif|when|in|unless|if|while|until))\Z")
+_RUBY_REACH = 8  # longer than any of these words; blanks before the word looked at are skipped first, however many
+
+#: Operators without an operand behind them, and keywords that are assigned to: no expression of these languages.
+_LOST_OPERAND = re.compile(r"(?:(?<!\+)\+|(?<!-)-|(?<![=!<>])=|(?<!%)%|\^)[ \t\n]*[;)\]]|\b(?:int|char|float|double|void|return|struct|const|var|func)[ \t]+=(?![=>])")
+_LOST_IN = {"c", "java", "go", "javascript", "typescript"}
 
 
 def _ruby_blocks(code: str) -> str | None:
@@ -88,7 +97,10 @@ def _ruby_blocks(code: str) -> str | None:
                 return "unbalanced"
             stack.pop()
         elif kind in ("cond", "loop"):
-            if _RUBY_BEFORE.search(code, max(0, m.start() - 24), m.start()):
+            at = m.start()
+            while at and code[at - 1] in " \t":
+                at -= 1
+            if _RUBY_BEFORE.search(code, max(0, at - _RUBY_REACH), at):
                 stack.append(m.group())
                 awaits_do = kind == "loop"
         elif m.group() == "do" and awaits_do:
@@ -98,6 +110,65 @@ def _ruby_blocks(code: str) -> str | None:
     return "ends-early" if stack else None
 
 
+def _balance(code: str) -> str | None:
+    """The pushdown of delimiters."""
+    stack: list[str] = []
+    push, pop = stack.append, stack.pop
+    for b in _BRACKETS(code):
+        if b in "([{":
+            push(b)
+        elif not stack or pop() != _PAIR[b]:
+            return "unbalanced"
+    return "ends-early" if stack else None
+
+
+def _balance_of_branches(code: str) -> str | None:
+    """The same where a preprocessor keeps one of several branches: each branch starts from the stacks at its ``#if``, and has to lie on a way to the end that leaves nothing open.
+
+    Stacks are linked pairs (delimiter, rest), each with a mark for every branch that some way to it passed; ways that come to the same stack are one.
+    """
+    now: dict = {None: 0}  # stack -> branches on the ways to it
+    open_: list[list] = []  # [stacks at the #if, stacks that the branches so far left, whether there was an #else]
+    branch = 0
+
+    def joined(a: dict, b: dict) -> dict:
+        out = dict(a)
+        for k, v in b.items():
+            out[k] = out.get(k, 0) | v
+        return out
+
+    for m in _BRANCHES.finditer(code):
+        b, d = m["b"], m["d"]
+        if b:
+            if b in "([{":
+                now = {(b, k): v for k, v in now.items()}
+            else:
+                now = {k[1]: v for k, v in now.items() if k and k[0] == _PAIR[b]}
+            if not now:
+                return "unbalanced"
+        elif d and d.startswith("if"):
+            branch += 1
+            open_.append([now, {}, False])
+            now = {k: v | 1 << branch for k, v in now.items()}
+        elif d:
+            if not open_:
+                return "unbalanced"
+            before, left, had_else = open_[-1]
+            left = joined(left, now)
+            if d == "endif":
+                open_.pop()
+                now = left if had_else else joined(left, before)
+                if len(now) > MOST_STACKS:
+                    return "unbalanced"
+            else:
+                branch += 1
+                open_[-1] = [before, left, had_else or d == "else"]
+                now = {k: v | 1 << branch for k, v in before.items()}
+    if open_ or None not in now:
+        return "ends-early"
+    return None if now[None] == (1 << branch + 1) - 2 else "unbalanced"
+
+
 def _python_says(text: str) -> str | None:
     try:
         compile(text, "text", "exec", 0x400, True)  # the flag of ast.parse: grammar only
@@ -129,8 +200,6 @@ def reason_of(text: str | None, language: str) -> str | None:
         text = text[1:]
     if text.startswith("#!") and language in ("javascript", "typescript", "ruby", "python"):
         text = "\n" + text.partition("\n")[2]
-    if language == "c" and ("#el" in text or "# el" in text):
-        text = re.sub(r"^[ \t]*#[ \t]*(?:else|elif)\b[\s\S]*?(?=^[ \t]*#[ \t]*endif)", "", text, flags=re.M)
     find, stray = _compiled(language)
     opened = False
 
@@ -140,9 +209,10 @@ def reason_of(text: str | None, language: str) -> str | None:
             opened = True
             return " "
         s = m.group()
-        c = s.lstrip(" \t")[:1]
+        t = s.lstrip(" \t")
+        c = t[:1]
         if c == "/" or c == "#":
-            if s[1:2] in "/*" or c == "#":
+            if t[1:2] in ("/", "*") or c == "#":
                 return "\n" if "\n" in s else " "
         if c == "'" and language == "rust" and not s.endswith("'"):
             return " "
@@ -155,15 +225,9 @@ def reason_of(text: str | None, language: str) -> str | None:
         return "merge-conflict"
     if opened:
         return "unterminated"
-    stack: list[str] = []
-    push, pop = stack.append, stack.pop
-    for b in _BRACKETS(code):
-        if b in "([{":
-            push(b)
-        elif not stack or pop() != _PAIR[b]:
-            return "unbalanced"
-    if stack:
-        return "ends-early"
+    wrong = _balance_of_branches(code) if language == "c" and "#" in code else _balance(code)
+    if wrong:
+        return wrong
     if not code.isascii() and _STRAY.search(code) or stray and stray.search(code):
         return "stray-character"
     if language != "python" and _DATA.search(code if language != "c" else re.sub(r"^[ \t]*#[^\n]*", "", code, flags=re.M)):
@@ -171,6 +235,8 @@ def reason_of(text: str | None, language: str) -> str | None:
     for foreign in _FOREIGN.get(language, ()):
         if code.strip() and foreign.search(code):
             return "other-language"
+    if language in _LOST_IN and _LOST_OPERAND.search(code):
+        return "grammar"
     if language == "ruby":
         return _ruby_blocks(code)
     return _python_says(text) if language == "python" else None

@@ -41,6 +41,16 @@ def test_shares_are_those_of_brute_force():
     assert got == pytest.approx([brute(t) for t in ts]) and R.statistics_of([])[:, 0].size == 0
 
 
+def test_exact_shares_are_those_of_brute_force():
+    assert [R.exact_share(R.words_of(t or "")) for t in texts()] == pytest.approx([brute(t) for t in texts()])
+
+
+def test_rows_come_through_the_forest(spark, monkeypatch):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    monkeypatch.setattr(R, "fit", lambda *a: (R.Forest(np.zeros((0, 5))), 1.0, 2.0))
+    assert R.repeated_documents(d).count() == 0
+
+
 def test_documents_do_not_mix():
     t = "one two three four five six seven eight nine"
     assert R.statistics_of([t, t, t])[:, 0].tolist() == [0, 0, 0]

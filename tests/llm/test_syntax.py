@@ -12,13 +12,15 @@ GOOD = [
     ("go", "// c\npackage p\n\nimport (\n\t\"a/b\"\n)\n\nfunc f(a string, b int) (int, error) {\n\tr := '\\''\n\ts := `raw \" {`\n\treturn 1, nil\n}\n"), ("java", "package a.b;\n@Ann(\"x\")\npublic class A<T> { char c = '\\''; String t = \"\"\"\n a \" b }\n\"\"\"; int f(int a) { return a; } }\n"),
     ("rust", "use a::b;\nfn f<'a>(x: &'a str) -> char { let r = r#\"a \" }\"#; 'x' }\n/* a /* nested */ b */\n#[test]\nimpl<'b> T for U {}\n"), ("c", "#include <stdio.h>\n#define Q '\"'\nstatic const char *s = \"}\";\n#ifdef A\nint f(void) {\n#else\nint g(void) {\n#endif\n  return 0;\n}\n#error don't\n"),
     ("ruby", "require 'x'\nclass A < B\n  def f(a, b: 1)\n    return 1 unless a\n    x = if a then 1 else 2 end\n    while x do x -= 1 end\n    a.each do |y| puts \"#{y[\"k\"]}\" end\n    y = <<~EOS\n      end }\n    EOS\n    self.class.end\n  end\n  def g = 1\n  def ok? = true\nend\n"),
+    ("ruby", "def f(a)\n" + " " * 40 + "if a\n" + " " * 40 + "a\n" + " " * 40 + "end\nend\n"), ("c", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint a;\n#ifdef __cplusplus\n}\n#endif\n"), ("c", "int f(void) {\n#if A\n  if (x) {\n#elif B\n#if C\n  while (y) {\n#else\n  {\n#endif\n#else\n  {\n#endif\n  }\n}\n"), ("c", "#ifdef A\n  int f(void) {\n#else\n  int b;\n#endif\n#ifdef A\n  }\n#endif\n#define X(a) {\n"),
+    ("c", "char *f(int *, char *);\nint a = (int *) b + -1, c = *d++;\n"), ("java", "import a.*;\nclass A { List<String> f(int a) { a++; return (b) -> a-- ; } }\n"),
     ("ruby", "x = %w[a b]\nputs x if x\nbegin\n  a\nrescue E => e\n  b\nend until c\ncase x\nwhen 1 then 2\nend\n"), ("java", ""), ("c", "  \n"),
 ]
 BAD = [
     ("python", "def f(:\n", None), ("python", "def f():\n    x = g(\n", "ends-early"), ("python", "def f():\n    a\n   b\n", "grammar"), ("python", "<<<<<<< ours\na = 1\n=======\na = 2\n>>>>>>> theirs\n", "merge-conflict"), ("python", "x = 'a\n", "unterminated"), ("python", "print 'x'\n", "grammar"), ("python", "int f(int a) {\n}\n", None),
     ("javascript", "function f() {\n  return g(a;\n}\n", "unbalanced"), ("javascript", "let a = \"x;\n", "unterminated"), ("javascript", "function f(a: string) { return a; }\n", "other-language"), ("javascript", "def f(a):\n    return a\n", "other-language"), ("javascript", "name: x\nsteps:\n  - run: x\n", "other-language"), ("javascript", "if (a) {\n}\n}\n", "unbalanced"), ("javascript", "let a \ufffd = 1;\n", "stray-character"),
     ("typescript", "package a.b;\npublic class A { }\n", "other-language"), ("go", "import x\ndef f(a):\n", "other-language"), ("go", "package p\nfunc f() {\n", "ends-early"), ("java", "<html>\n</html>\n", "other-language"), ("java", "class A { void f() { /* x }\n", "unterminated"), ("java", "00000000: d4 0d 66\n", "other-language"),
-    ("rust", "package p\nfunc f() {}\n", "other-language"), ("rust", "fn f() { (] }\n", "unbalanced"), ("c", "package a;\n", "other-language"), ("c", "int f( {\n}\n", "ends-early"), ("c", "00000000: d4 10 66 11\n", "other-language"), ("ruby", "def f(a)\n  a\n", "ends-early"), ("ruby", "def f\nend\nend\n", "unbalanced"), ("ruby", "def f(a):\n    return a\n", "other-language"), ("ruby", "if x {\n}\n", "ends-early"), ("ruby", "// c\nx = 1\n", "other-language"),
+    ("rust", "package p\nfunc f() {}\n", "other-language"), ("rust", "fn f() { (] }\n", "unbalanced"), ("c", "package a;\n", "other-language"), ("c", "int f( {\n}\n", "ends-early"), ("c", "#if A\nint a;\n#else\n{{{\n#endif\n", "unbalanced"), ("c", "#if A\nint a;\n#else\n<<<<<<< x\n#endif\n", "merge-conflict"), ("c", "#if A\n#if B\n#else\n(\n#endif\n#endif\nint b;\n", "unbalanced"), ("c", "#if A\nint a;\n", "ends-early"), ("c", "#endif\n", "unbalanced"), ("c", "int = 3;\n", "grammar"), ("go", "package p\nfunc f() {\n\tx := ;\n}\n", "grammar"), ("java", "class A { int f() { return + ; } }\n", "grammar"), ("c", "00000000: d4 10 66 11\n", "other-language"), ("ruby", "def f(a)\n  a\n", "ends-early"), ("ruby", "def f\nend\nend\n", "unbalanced"), ("ruby", "def f(a):\n    return a\n", "other-language"), ("ruby", "if x {\n}\n", "ends-early"), ("ruby", "// c\nx = 1\n", "other-language"),
 ]
 
 
