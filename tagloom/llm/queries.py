@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import docpairs, encode, mixing, provenance, repetition, syntax
+from tagloom.llm import docpairs, encode, heavy, mixing, provenance, repetition, syntax
 from tagloom.tables import load
 
 
@@ -26,6 +26,22 @@ def p1_functions(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.parsed(load(spark, d, "documents", "rel_file", "text")).drop("h", "n")
 
 
+#: The share of all rows that a pair must hold to come out.
+SUPPORT = 0.003
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs (name, kind) with a name that hold at least 0.3 % of all rows of tags."""
+    found = heavy.frequent_exact(load(spark, d, "tags", "name", "kind"), ["name", "kind"], SUPPORT)
+    return found.filter("name is not null").select("name", "kind")
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of p2_found with their guaranteed count intervals."""
+    found, _ = heavy.frequent_items(load(spark, d, "tags", "name", "kind"), ["name", "kind"], SUPPORT)
+    return found.filter("name is not null")
+
+
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(load(spark, d, "documents", "rel_file", "text"), load(spark, d, "lib_files", "lib_id", "file_name", "text"))
 
@@ -82,9 +98,12 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_functions": p1_functions, "p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_functions": p1_functions, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_evidence": p4_evidence, "p5_found": p5_found, "p5_flags": p5_flags, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 SQL: dict[str, str] = {
+    "p2_found": """
+        SELECT name, kind FROM tags GROUP BY name, kind
+        HAVING name IS NOT NULL AND count(*) >= 0.003 * (SELECT count(*) FROM tags)""",
     "p9_found": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE text IS NOT NULL),
         g AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
