@@ -4,25 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.operators.heavy import frequent_exact, frequent_items
 from tagloom.operators.incremental import files_to_process
 from tagloom.operators.skewed import name_totals
 from tagloom.tables import load
 
-SUPPORT = 0.003
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs (name, kind) with a name that hold at least 0.3 % of all rows of tags."""
-    found = frequent_exact(load(spark, d, "tags", "name", "kind"), ["name", "kind"], SUPPORT)
-    return found.filter("name is not null").select("name", "kind")
-
-
-def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates of p2_found with their guaranteed count intervals."""
-    found, _ = frequent_items(load(spark, d, "tags", "name", "kind"), ["name", "kind"], SUPPORT)
-    return found.filter("name is not null")
-
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that the next run has to process."""
@@ -39,12 +24,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_names(spark, d).filter("belongs").select("name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p6_found": p6_found, "p6_names": p6_names}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_names": p6_names}
 
 SQL = {
-    "p2_found": """
-        SELECT name, kind FROM tags GROUP BY name, kind
-        HAVING name IS NOT NULL AND count(*) >= 0.003 * (SELECT count(*) FROM tags)""",
     "p3_found": """
         WITH now AS (
             SELECT rel_file, size, mtime_ns FROM file_state WHERE rel_file IS NOT NULL
