@@ -33,7 +33,55 @@ def test_manifest_survives_failure(spark, tmp_path):
     assert m.results().count() == 2 and m.pending(one).count() == 0
     assert sorted(r.path for r in m.pending(two).collect()) == ["a", "c"]
     m.run(two, lambda df: df)
-    assert m.pending(two).count() == 0 and m.results().count() == 4
+    assert m.pending(two).count() == 0 and sorted((r.path, r.size) for r in m.results().collect()) == [("a", 2), ("b", 1), ("c", 1)]
+    assert m.compact() and m.pending(two).count() == 0 and sorted(r.path for r in m.pending(one).collect()) == ["a"]
+    m.run(one, lambda df: df)
+    assert sorted((r.path, r.size) for r in m.results().collect()) == [("a", 1), ("b", 1), ("c", 1)] and [r.path for r in m.results(two.filter("path = 'a'")).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("step", ["data", "manifest", "commits"])
+def test_a_crash_at_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, step):
+    from pyspark.sql import DataFrameWriter
+
+    d = spark.createDataFrame([("a", 1, "x"), (None, 1, "x")], "path string, size long, checksum string")
+    m = incremental.Manifest(spark, f"file://{tmp_path}/m")
+    write, put = DataFrameWriter.parquet, m._put
+
+    def torn(self, path, *a, **k):
+        write(self, path, *a, **k)
+        if f"/{step}/" in path:
+            raise RuntimeError("lost")
+
+    with monkeypatch.context() as p:
+        p.setattr(DataFrameWriter, "parquet", torn)
+        if step == "commits":
+            p.setattr(m, "_put", lambda *a: (_ for _ in ()).throw(OSError("no rename")))
+        with pytest.raises((RuntimeError, OSError)):
+            m.run(d, lambda df: df, "0001")
+    assert m.committed() == [] and m.results() is None and m._put == put
+    m.run(d, lambda df: df, "0002")
+    assert [r.path for r in m.results().collect()] == ["a"] and m.pending(d.filter("path is not null")).count() == 0
+
+
+def test_a_file_that_changes_while_it_is_processed_comes_again(spark, tmp_path):
+    source = str(tmp_path / "listing")
+    state = lambda size: spark.createDataFrame([("a", size, str(size))], "path string, size long, checksum string").write.mode("overwrite").parquet(source)
+    state(1)
+    listing = spark.read.parquet(source)
+    m = incremental.Manifest(spark, f"file://{tmp_path}/m")
+
+    def process(df):
+        out = df.select("path", "size")
+        out.count()
+        state(2)
+        return out
+
+    m.run(listing, process)
+    now = spark.read.parquet(source)
+    assert [r["size"] for r in m.results().collect()] == [1] and m.pending(now).count() == 1
+    other = incremental.Manifest(spark, m.root)
+    m.run(now, lambda df: other.run(now, lambda x: x) and df)  # two runs at once take the same file
+    assert [r["size"] for r in m.results().collect()] == [2] and len(m.committed()) == 3
 
 
 def test_folder_listing(spark, tmp_path):
