@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagloom.functions.text import is_test
-from tagloom.session import cut
+from tagloom.session import cut, shuffle_partitions
 
 ALPHA, TOLERANCE, MOST = 0.85, 1e-6, 100
-BROADCAST_NODES = 100_000
+#: A graph of no more different edges and nodes than that, some tens of megabytes, is iterated within one task: a step over it costs less than starting a job.
+SMALL_EDGES, SMALL_NODES = 1_000_000, 500_000
+
+
+def _iterate(alpha: float, steps: int, tolerance: float | None, even: bool):
+    """The power iteration of ``pagerank`` over one group of edges and nodes, in arrays."""
+
+    def run(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        index = pd.Index(nodes["rel_file"])
+        k = len(index)
+        src, dst, n = index.get_indexer(edges["from_file"]), index.get_indexer(edges["to_file"]), edges["n"].to_numpy(np.float64)
+        out = np.bincount(src[src >= 0], n[src >= 0], k)
+        inside = (src >= 0) & (dst >= 0)
+        src, dst = src[inside], dst[inside]
+        w = n[inside] / out[src]
+        jump, rank = nodes["jump"].to_numpy(), nodes["raw"].to_numpy() / nodes["raw"].sum()
+        for _ in range(steps):
+            new = (1 - alpha) * jump + alpha * (np.bincount(dst, rank[src] * w, k) + rank[out == 0].sum() * (1.0 / k if even else jump))
+            new /= new.sum()
+            change, rank = np.abs(new - rank).sum(), new
+            if tolerance is not None and change < tolerance:
+                break
+        return pd.DataFrame({"rel_file": index, "rank": rank})
+
+    return run
 
 
 def pagerank(
     edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, iterations: int | None = None, tolerance: float = TOLERANCE, most: int = MOST,
     start: DataFrame | None = None, teleport: DataFrame | None = None,
 ) -> DataFrame:
-    """``rel_file, rank`` of every row of ``nodes(rel_file)`` over the multigraph ``edges(from_file, to_file)``.
+    """``rel_file, rank`` of every row of ``nodes(rel_file)`` over the multigraph ``edges(from_file, to_file)``; a column ``n`` of edges is how many parallel edges a row stands for.
 
     Mass flows along all edges of a node alike, also along those that leave ``nodes``; dangling mass is spread evenly; every step ends by
     normalising to 1. Steps go on until the summed change is below ``tolerance`` (at most ``most``), or ``iterations`` times. ``start(rel_file, weight)`` only seeds the first
     vector, which the fixed point forgets; ``teleport(rel_file, weight)`` replaces the even teleport, which is true personalisation. Null nodes are dropped,
     repeated ones count once. No nodes give no rows.
 
-    Parallel edges are summed to weights once. A step is one join of edges and ranks on the source and one aggregation by target; dangling mass and
-    normaliser are two numbers on the driver, from one aggregate a step. Lineage is cut every step, as each
-    vector is used twice in the next. A vector of few nodes is broadcast, a larger one is joined by shuffle.
+    Parallel edges are summed to weights once. A graph within SMALL_EDGES and SMALL_NODES goes to one task; of a larger one, weights and vector are laid out by file once: a step is one join without
+    shuffle, one aggregation by target, and one small aggregate that gives normaliser, dangling mass and the change of the step before. Each vector is written, which cuts the lineage.
     """
+    p = shuffle_partitions(nodes.sparkSession)
     n_ = cut(nodes.select("rel_file").filter("rel_file is not null").distinct())
     n = n_.count()
     if n == 0:
         return n_.withColumn("rank", F.lit(0.0))
-    e = edges.filter("from_file is not null").groupBy("from_file", "to_file").agg(F.count("*").alias("n"))
+    e = cut(edges.filter("from_file is not null").groupBy("from_file", "to_file").agg((F.sum("n") if "n" in edges.columns else F.count("*")).alias("n")))
+    small = n <= SMALL_NODES and e.count() <= SMALL_EDGES
     deg = e.groupBy("from_file").agg(F.sum("n").alias("deg"))
     inner = e.join(deg, "from_file").join(n_.select(F.col("rel_file").alias("to_file")), "to_file", "left_semi")
-    weights = inner.select("from_file", "to_file", (F.col("n") / F.col("deg")).alias("w")).persist()
     base = n_.join(deg.select(F.col("from_file").alias("rel_file"), F.lit(False).alias("dangling")), "rel_file", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
     if teleport is not None:
         t = teleport.groupBy("rel_file").agg(F.sum("weight").alias("tw"))
@@ -42,31 +67,32 @@ def pagerank(
         base = base.withColumn("jump", F.col("tw") / total if total else F.lit(1.0 / n)).drop("tw")
     else:
         base = base.withColumn("jump", F.lit(1.0 / n))
-    base = cut(base)
     if start is not None:
         s = start.groupBy("rel_file").agg(F.sum("weight").alias("sw"))
-        ranks = base.join(s, "rel_file", "left").withColumn("rank", F.lit(1.0) + F.coalesce("sw", F.lit(0.0)))
-        total = ranks.agg(F.sum("rank")).first()[0]
-        ranks = ranks.select("rel_file", "dangling", "jump", (F.col("rank") / total).alias("rank"))
+        base = base.join(s, "rel_file", "left").withColumn("raw", F.lit(1.0) + F.coalesce("sw", F.lit(0.0))).drop("sw")
     else:
-        ranks = base.withColumn("rank", F.lit(1.0 / n))
-    small = F.broadcast if n <= BROADCAST_NODES else (lambda df: df)  # a vector of that many nodes is some megabytes
-    raw = cut(ranks.withColumnRenamed("rank", "raw"))
-    total, mass = 1.0, raw.agg(F.sum(F.when(F.col("dangling"), F.col("raw")))).first()[0] or 0.0
-    for _ in range(iterations or most):
-        old = F.col("raw") / F.lit(total)
-        came = weights.join(small(raw.select(F.col("rel_file").alias("from_file"), old.alias("rank"))), "from_file").groupBy(F.col("to_file").alias("rel_file")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
-        spread = F.lit(mass) * F.col("jump") if teleport is not None else F.lit(mass / n)
-        new = cut(raw.withColumn("old", old).drop("raw").join(small(came), "rel_file", "left").select(
-            "rel_file", "dangling", "jump", "old", (F.lit(1 - alpha) * F.col("jump") + F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + spread)).alias("raw")
-        ))
-        s = new.agg(F.sum("raw").alias("total"), F.sum(F.when(F.col("dangling"), F.col("raw"))).alias("mass")).first()
+        base = base.withColumn("raw", F.lit(1.0 / n))
+    if small:
+        one = lambda df: df.withColumn("_g", F.lit(0)).groupBy("_g")
+        run = _iterate(alpha, iterations or most, None if iterations else tolerance, teleport is None)
+        return one(e).cogroup(one(base.select("rel_file", "jump", "raw"))).applyInPandas(run, "rel_file string, rank double")
+    weights = cut(inner.select("from_file", "to_file", (F.col("n") / F.col("deg")).alias("w")).repartition(p, "from_file"))
+    now = cut(base.withColumn("old", F.lit(0.0)).withColumn("older", F.lit(1.0)).repartition(p, "rel_file"))
+    sums = lambda v: v.agg(F.sum("raw").alias("total"), F.sum(F.when(F.col("dangling"), F.col("raw"))).alias("mass"), F.sum(F.abs(F.col("old") - F.col("older"))).alias("change")).first()
+    s = sums(now)
+    for step in range(iterations or most):
         total, mass = s["total"], (s["mass"] or 0.0) / s["total"]
-        raw = new.drop("old")
-        if iterations is None and new.agg(F.sum(F.abs(F.col("raw") / F.lit(total) - F.col("old")))).first()[0] < tolerance:
-            break
-    weights.unpersist()
-    return raw.select("rel_file", (F.col("raw") / F.lit(total)).alias("rank"))
+        rank = F.col("raw") / F.lit(total)
+        came = weights.join(now.select(F.col("rel_file").alias("from_file"), rank.alias("rank")), "from_file").groupBy(F.col("to_file").alias("rel_file")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
+        spread = F.lit(mass) * F.col("jump") if teleport is not None else F.lit(mass / n)
+        new = now.select("rel_file", "dangling", "jump", rank.alias("old"), F.col("old").alias("older")).join(came, "rel_file", "left").select(
+            "rel_file", "dangling", "jump", (F.lit(1 - alpha) * F.col("jump") + F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + spread)).alias("raw"), "old", "older"
+        )
+        now = cut(new)
+        s = sums(now)
+        if iterations is None and step and s["change"] < tolerance:  # the step before changed no more than that: its vector is the result
+            return now.select("rel_file", F.col("old").alias("rank"))
+    return now.select("rel_file", (F.col("raw") / F.lit(s["total"])).alias("rank"))
 
 
 def boosted(ranks: DataFrame, tags: DataFrame, idents: list[str] = (), files: list[str] = (), chat: list[str] | Column = (), least: float | None = None) -> DataFrame:
@@ -98,6 +124,3 @@ def top_subgraph(ranks: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     e = edges.groupBy("from_file", "to_file").agg(F.count("*").alias("n"))
     return e.join(top.withColumnRenamed("rel_file", "from_file"), "from_file", "left_semi").join(top.withColumnRenamed("rel_file", "to_file"), "to_file", "left_semi")
 
-
-def test_share(ranks: DataFrame) -> DataFrame:
-    return ranks.groupBy(is_test(F.col("rel_file")).alias("is_test")).agg(F.count("*").alias("files"), F.round(F.sum("rank"), 9).alias("rank"))

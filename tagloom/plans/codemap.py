@@ -432,9 +432,21 @@ def pagerank_personalized(s, d):
     return rank.pagerank(_refs(s, d), n, iterations=5, teleport=n.filter("rel_file like 'quillstone/%'").withColumn("weight", F.lit(1.0))).select("rel_file", F.round("rank", 9).alias("rank"))
 
 
-@query("pagerank_converged")
+def _settled_sql(most: int) -> str:
+    """Steps until one changes less than the tolerance; the vector is frozen from then on."""
+    parts = [_rank_sql(0), "d0 AS (SELECT false AS done)"]
+    for i in range(most):
+        parts.append(f"""m{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS m FROM r{i} WHERE rel_file NOT IN (SELECT from_file FROM deg)),
+    a{i} AS MATERIALIZED (SELECT x.rel_file, x.rank AS old, 0.15 / n.n + 0.85 * (coalesce(c.came, 0) + m{i}.m / n.n) AS raw FROM r{i} x CROSS JOIN n CROSS JOIN m{i}
+        LEFT JOIN (SELECT w.to_file, sum(r.rank * w.w) AS came FROM w JOIN r{i} r ON w.from_file = r.rel_file GROUP BY 1) c ON x.rel_file = c.to_file),
+    r{i + 1} AS MATERIALIZED (SELECT rel_file, CASE WHEN (SELECT done FROM d{i}) THEN old ELSE raw / (SELECT sum(raw) FROM a{i}) END AS rank FROM a{i}),
+    d{i + 1} AS MATERIALIZED (SELECT (SELECT done FROM d{i}) OR sum(abs(y.rank - x.rank)) < 1e-6 AS done FROM r{i} x JOIN r{i + 1} y ON x.rel_file = y.rel_file)""")
+    return ",\n".join(parts)
+
+
+@query("pagerank_converged", _settled_sql(30) + " SELECT rel_file, round(rank, 9) AS rank FROM r30")
 def pagerank_converged(s, d):
-    return rank.pagerank(_refs(s, d), _nodes(s, d))
+    return rank.pagerank(_refs(s, d), _nodes(s, d), most=30).select("rel_file", F.round("rank", 9).alias("rank"))
 
 
 _RANKS = "SELECT rel_file, max(rank) AS rank FROM file_ranks WHERE rel_file IS NOT NULL AND rank IS NOT NULL GROUP BY rel_file"
@@ -481,7 +493,7 @@ def map_budget_prefix(s, d):
 
 @query("map_ranked_live")
 def map_ranked_live(s, d):
-    r = rank.boosted(rank.pagerank(edges.bag_edges(_tags(s, d)), _nodes(s, d)), _tags(s, d))
+    r = rank.boosted(rank.pagerank(edges.weighted_edges(_tags(s, d)), _nodes(s, d)), _tags(s, d))
     return rank.budget_prefix(r, [F.desc("rank"), "rel_file", "line", "name"], F.ceil(F.length(F.concat("rel_file", "name")) / 4), 2048)
 
 
