@@ -163,9 +163,10 @@ def test_path_flag(s, d):
     return files.test_files(load(s, d, "tags", "rel_file"))
 
 
-@query("important_files", f"SELECT DISTINCT rel_file FROM documents WHERE regexp_matches(lower(rel_file), '{files.IMPORTANT}')")
+@query("important_files", f"SELECT DISTINCT rel_file, regexp_matches(lower(rel_file), '{files.IMPORTANT}') AS important FROM documents WHERE rel_file IS NOT NULL")
 def important_files(s, d):
-    return load(s, d, "documents", "rel_file").filter(F.lower("rel_file").rlike(files.IMPORTANT)).distinct()
+    f = load(s, d, "documents", "rel_file").filter("rel_file is not null").distinct()
+    return f.select("rel_file", F.lower("rel_file").rlike(files.IMPORTANT).alias("important"))
 
 
 @query("minified_sniff", r"""
@@ -273,7 +274,7 @@ def detect_refs_only(s, d):
     return search.detect(_tags(s, d), "set", "substring", 60, definitions=False)
 
 
-_VARIANTS = T.query_variants("getPage")
+_VARIANTS = T.query_variants("mapItems")
 _WHICH = "CASE " + " ".join(f"WHEN contains(lower(name), '{v}') THEN {i}" for i, v in enumerate(_VARIANTS)) + " END"
 
 
@@ -283,7 +284,7 @@ _WHICH = "CASE " + " ".join(f"WHEN contains(lower(name), '{v}') THEN {i}" for i,
     r AS (SELECT *, row_number() OVER (PARTITION BY rel_file ORDER BY pos) AS round, min(pos) OVER (PARTITION BY rel_file) AS first FROM p)
     SELECT rel_file, line, name, kind, CAST(variant AS BIGINT) AS variant, round FROM r ORDER BY round, first LIMIT 50""")
 def detect_variants(s, d):
-    return search.variants(_tags(s, d), "getPage", 50)
+    return search.variants(_tags(s, d), "mapItems", 50)
 
 
 _BASE = r"regexp_replace(regexp_replace(name, '(?s)^.*?::', ''), '(?s)\(.*$', '')"
@@ -702,47 +703,60 @@ def call_graph_per_file(s, d):
 # --- traversal ---------------------------------------------------------------------------------------------------------------
 
 
+_WALK = ["hop", "from_name", "from_file", "from_line", "to_name", "to_file", "to_line"]
+
+
 def _up(depth: int, seed: str, extra: str = "true") -> str:
-    out = [f"WITH c AS MATERIALIZED (SELECT DISTINCT caller, file, caller_line, name FROM ({_CALLS}) WHERE {extra})", f"f0 AS (SELECT '{seed}' AS name)", "v0 AS (SELECT * FROM f0)"]
+    out = [f"WITH c AS MATERIALIZED (SELECT DISTINCT caller, file, caller_line, name FROM ({_CALLS}) WHERE {extra})", f"f0 AS (SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line, '{seed}' AS name)", "v0 AS (SELECT * FROM f0)"]
+    for h in range(1, depth + 2):
+        out.append(f"k{h} AS (SELECT * FROM (SELECT *, {_BASE} AS key FROM f{h - 1}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY file NULLS FIRST, line NULLS FIRST, name) = 1)")
+        out.append(f"e{h} AS MATERIALIZED (SELECT DISTINCT {h} AS hop, c.caller AS from_name, c.file AS from_file, c.caller_line AS from_line, k.name AS to_name, k.file AS to_file, k.line AS to_line FROM c JOIN k{h} k ON c.name = k.key)")
+        out.append(f"f{h} AS MATERIALIZED (SELECT DISTINCT from_file AS file, from_line AS line, from_name AS name FROM e{h} EXCEPT SELECT * FROM v{h - 1})")
+        out.append(f"v{h} AS (SELECT * FROM v{h - 1} UNION SELECT * FROM f{h})")
+    return ",\n".join(out) + "\nSELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM e{h}" for h in range(1, depth + 2)) + ")"
+
+
+def _down(depth: int, start: str, calls: str = _CALLS) -> str:
+    d = f"SELECT DISTINCT file, line, name, {_BASE} AS key FROM tags WHERE kind = 'def' AND name IS NOT NULL AND file IS NOT NULL AND line IS NOT NULL"
+    out = [f"WITH c AS MATERIALIZED (SELECT DISTINCT caller, file, caller_line, name FROM ({calls}))", f"d AS MATERIALIZED ({d})", f"f0 AS MATERIALIZED ({start})", "v0 AS (SELECT * FROM f0)"]
     for h in range(1, depth + 2):
-        out.append(f"e{h} AS MATERIALIZED (SELECT DISTINCT {h} AS hop, c.caller AS from_name, c.file AS from_file, c.caller_line AS from_line, f.name AS to_name FROM c JOIN f{h - 1} f ON c.name = {_BASE.replace('name', 'f.name')})")
-        out.append(f"f{h} AS (SELECT DISTINCT from_name AS name FROM e{h} WHERE from_name NOT IN (SELECT name FROM v{h - 1}))")
+        out.append(f"e{h} AS MATERIALIZED (SELECT DISTINCT {h} AS hop, f.name AS from_name, f.file AS from_file, f.line AS from_line, d.name AS to_name, d.file AS to_file, d.line AS to_line FROM f{h - 1} f JOIN c ON c.file = f.file AND c.caller_line = f.line JOIN d ON c.name = d.key)")
+        out.append(f"f{h} AS MATERIALIZED (SELECT DISTINCT to_file AS file, to_line AS line, to_name AS name FROM e{h} EXCEPT SELECT * FROM v{h - 1})")
         out.append(f"v{h} AS (SELECT * FROM v{h - 1} UNION SELECT * FROM f{h})")
-    return ",\n".join(out) + "\nSELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM e{h}" for h in range(1, depth + 2)) + ") ORDER BY hop, from_file, from_line, from_name, to_name LIMIT "
+    return ",\n".join(out) + "\nSELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM e{h}" for h in range(1, depth + 2)) + ")"
 
 
 def _walk(s, d, text):
-    return traverse.run(text, _tags(s, d), _calls(s, d))
+    return traverse.run(text, load(s, d, "tags", "file", "rel_file", "line", "name", "kind"), symbols=load(s, d, "symbols", "file", "line", "name", "type", "end_line"))
 
 
-@query("bfs_callers_depth1", _up(1, "parse_vabomu_header") + "2000")
+@query("bfs_callers_depth1", _up(1, "fetch_vabomu_batch"))
 def bfs_callers_depth1(s, d):
-    return _walk(s, d, "callers('parse_vabomu_header') depth=1 limit=1000")[1].select("hop", "from_name", "from_file", "from_line", "to_name")
+    return _walk(s, d, "callers('fetch_vabomu_batch') depth=1 limit=1000000")[1].select(*_WALK)
 
 
-@query("bfs_callers_depth2", _up(2, "parse_vabomu_header") + "2000")
+@query("bfs_callers_depth2", _up(2, "fetch_vabomu_batch"))
 def bfs_callers_depth2(s, d):
-    return _walk(s, d, "callers('parse_vabomu_header') depth=2 limit=1000")[1].select("hop", "from_name", "from_file", "from_line", "to_name")
+    return _walk(s, d, "callers('fetch_vabomu_batch') depth=2 limit=1000000")[1].select(*_WALK)
 
 
-@query("tests_for", _up(1, "setUp", f"regexp_matches(file, '{T.TEST_PATH}')") + "400")
+@query("tests_for", _up(1, "drain_vabomu_budget", f"regexp_matches(file, '{T.TEST_PATH}')"))
 def tests_for(s, d):
-    return _walk(s, d, "tests_for('setUp') limit=200")[1].select("hop", "from_name", "from_file", "from_line", "to_name")
+    return _walk(s, d, "tests_for('drain_vabomu_budget') limit=1000000")[1].select(*_WALK)
+
+
+_START = f"SELECT DISTINCT file, line, name FROM tags WHERE kind = 'def' AND {_BASE} = 'fetch_vabomu_batch' AND file IS NOT NULL AND line IS NOT NULL"
 
 
-@query("bfs_callees", rf"""
-    WITH c AS MATERIALIZED (SELECT DISTINCT caller, file, caller_line, name, {_BASE.replace('name', 'caller')} AS b FROM ({_CALLS})),
-    e1 AS (SELECT DISTINCT 1 AS hop, 'main' AS from_name, file AS from_file, caller_line AS from_line, name AS to_name FROM c WHERE b = 'main'),
-    f1 AS (SELECT DISTINCT to_name AS name FROM e1 WHERE to_name <> 'main'),
-    e2 AS (SELECT DISTINCT 2 AS hop, f.name AS from_name, c.file AS from_file, c.caller_line AS from_line, c.name AS to_name FROM c JOIN f1 f ON c.b = {_BASE.replace('name', 'f.name')})
-    SELECT * FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) ORDER BY hop, from_file, from_line, from_name, to_name LIMIT 1000""")
+@query("bfs_callees", _down(1, _START))
 def bfs_callees(s, d):
-    return _walk(s, d, "callees('main') limit=500")[1].select("hop", "from_name", "from_file", "from_line", "to_name")
+    return _walk(s, d, "callees('fetch_vabomu_batch') limit=1000000")[1].select(*_WALK)
 
 
-@query("chained_query")
+@query("chained_query", _down(1, "SELECT DISTINCT file, line, name FROM (SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line, 'fetch_vabomu_batch' AS name UNION SELECT file, caller_line, caller FROM (" + _CALLS + ") WHERE name = 'fetch_vabomu_batch' AND NOT regexp_matches(file, '^.*/tests/.*$'))"))
 def chained_query(s, d):
-    return _walk(s, d, "callers('parse_vabomu_header') exclude='*/tests/*' limit=50 | callees('x') limit=50")[0]
+    e = _walk(s, d, "callers('fetch_vabomu_batch') exclude='*/tests/*' limit=1000000 | callees('x') limit=1000000")[1]
+    return e.filter("step = 1").select(*_WALK)
 
 
 def _site_sql(name: str, kind: str, limit: int) -> str:
@@ -759,10 +773,10 @@ def defs_of(s, d):
     return traverse.definitions(traverse.Step("defs", "update", limit=200), _tags(s, d))
 
 
-@query("scope_filter", rf"SELECT DISTINCT rel_file, line, name FROM tags WHERE kind = 'def' AND name LIKE 'Vabomu::%' AND contains(lower({_BASE}), 'page')")
+@query("scope_filter", rf"""SELECT DISTINCT rel_file, line, name FROM tags WHERE kind = 'def' AND rel_file IS NOT NULL AND {_BASE} = 'clip_ricupra_cache'
+    AND (nullif(regexp_extract(regexp_replace(name, '(?s)\(.*$', ''), '(?s)^(.*)::', 1), '') = 'Ricupra' OR (NOT contains(name, '::') AND regexp_extract(rel_file, '([^/]+?)(?:\.[^./]+)?$', 1) = 'Ricupra'))""")
 def scope_filter(s, d):
-    t = _tags(s, d).filter("kind = 'def' and name is not null")
-    return t.filter((T.scope(F.col("name")) == "Vabomu") & F.lower(T.base(F.col("name"))).contains("page")).select("rel_file", "line", "name").distinct()
+    return traverse.definitions(traverse.Step("defs", "Ricupra::clip_ricupra_cache", limit=200), _tags(s, d))
 
 
 # --- resolution --------------------------------------------------------------------------------------------------------------

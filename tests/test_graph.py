@@ -36,7 +36,12 @@ def test_multiplicity_nulls_and_self(spark, rows):
 def ranked(spark, es, nodes, **k):
     e = spark.createDataFrame(es, "from_file string, to_file string")
     n = spark.createDataFrame([(x,) for x in nodes], "rel_file string")
-    return {r.rel_file: round(r["rank"], 6) for r in rank.pagerank(e, n, **k).collect()}
+    got = {r.rel_file: round(r["rank"], 6) for r in rank.pagerank(e, n, **k).collect()}
+    four = {r.rel_file: r["rank"] for r in rank.pagerank(e, n, iterations=4, **k).collect()}
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(rank, "SMALL_EDGES", -1)  # the way of large graphs gives the same
+        assert {r.rel_file: r["rank"] for r in rank.pagerank(e, n, iterations=4, **k).collect()} == pytest.approx(four, abs=1e-12)
+    return got
 
 
 def test_ranks(spark):
@@ -96,12 +101,26 @@ def test_callers(calls, rows):
     assert {r.from_file for r in e.collect()} == {"main.py"}
 
 
+def test_nodes_are_symbols_not_names(spark):
+    s = [("a.py", "run", 1, 5), ("b.py", "run", 1, 5), ("c.py", "top", 1, 9), ("a.py", "low", 7, 9), ("d.py", "other", 1, 3)]
+    sym = spark.createDataFrame([(f, n, "function", a, b) for f, n, a, b in s], "file string, name string, type string, line int, end_line int")
+    tag = spark.createDataFrame([(f, f, a, n, "def") for f, n, a, _ in s] + [("a.py", "a.py", 2, "low", "ref"), ("b.py", "b.py", 2, "other", "ref"), ("c.py", "c.py", 3, "run", "ref"), ("d.py", "d.py", 2, "run", "ref")], "file string, rel_file string, line int, name string, kind string")
+    for way in ({"symbols": sym}, {"edges": spans.call_edges(tag, sym)}):
+        nodes, e = traverse.run("callees('top') depth=1", tag, **way)
+        assert {(r.hop, r.from_name, r.from_file, r.to_name, r.to_file) for r in e.collect()} == {(1, "top", "c.py", "run", "a.py"), (1, "top", "c.py", "run", "b.py"), (2, "run", "a.py", "low", "a.py"), (2, "run", "b.py", "other", "d.py")}
+        assert {(r.file, r.name, r.hop) for r in nodes.collect()} == {("c.py", "top", 0), ("a.py", "run", 1), ("b.py", "run", 1)} and not any(r.truncated for r in nodes.collect())
+        nodes, e = traverse.run("callers('low') depth=2", tag, **way)
+        assert {(r.hop, r.from_name, r.from_file, r.to_name, r.to_file) for r in e.collect()} == {(1, "run", "a.py", "low", None), (2, "top", "c.py", "run", "a.py"), (2, "other", "d.py", "run", "a.py"), (3, "run", "b.py", "other", "d.py")}
+        nodes, e = traverse.run("callees('top') depth=1 limit=2", tag, **way)
+        assert nodes.count() == 2 and all(r.truncated for r in nodes.collect()) and traverse.run("callers('none')", tag, **way)[1].count() == 0
+
+
 def test_chain(calls):
     t, c = calls
     nodes, e = traverse.run("callers('authenticate') | callees('validate_credentials') depth=1", t, c)
     assert nodes.count() and e.filter("step = 1").count()
     nodes, e = traverse.run("defs('authenticate')", t, c)
-    assert nodes.count() == 1 and e is None
+    assert nodes.count() == 2 and e is None
     assert traverse.references(traverse.Step("refs", "authenticate"), t).count() == 2
 
 
