@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions.text import CONTENT_SYNONYMS, STOPWORDS, SYNONYMS, canonical, canonical_of, is_test, tokens, tokens_of
 from tagloom.operators.search import clamp, interleave
-from tagloom.operators.spans import def_spans, top_callees, top_callers
+from tagloom.operators.spans import BUCKET, def_spans, top_callees, top_callers
 from tagloom.session import cut
 from tagloom.tables import nth
 
@@ -49,11 +49,13 @@ def content_search(tags: DataFrame, docs: DataFrame, edges: DataFrame, query: st
     spans, edges = cut(def_spans(tags, docs)), cut(edges)  # both are read several times
     hit = lambda name: F.filter(F.array_distinct(F.transform(tokens(name), canonical)), lambda t: t.isin(*words))
     names = spans.select("rel_file", "line", "name", F.explode(hit(F.col("name"))).alias("token"), F.lit(WEIGHTS["name"]).alias("w"))
-    lines = nth(docs.filter("rel_file is not null and text is not null"), tags.sparkSession.sparkContext.defaultParallelism).select("rel_file", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    told = F.lower("text").rlike("|".join(map(re.escape, spellings(words))))  # texts without any of the words are not taken apart
+    lines = nth(docs.filter(F.col("rel_file").isNotNull() & told), tags.sparkSession.sparkContext.defaultParallelism).select("rel_file", F.posexplode(F.split("text", "\n")).alias("i", "s"))
     lines = lines.filter(F.lower("s").rlike("|".join(map(re.escape, spellings(words)))))  # few lines are taken apart
     ident = F.flatten(F.transform(F.regexp_extract_all("s", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda x: F.transform(tokens(x), canonical)))
     said = lines.select("rel_file", (F.col("i") + 1).alias("at"), F.explode(F.filter(F.array_distinct(ident), lambda t: t.isin(*words))).alias("token")).distinct()
-    near = spans.join(said, "rel_file").filter(F.col("at").between(F.col("line"), F.col("end_line"))).select("rel_file", "line", "name", "token", F.lit(WEIGHTS["near"]).alias("w"))
+    laid = spans.filter("end_line >= line").withColumn("_b", F.explode(F.sequence(F.floor(F.col("line") / BUCKET), F.floor(F.col("end_line") / BUCKET))))
+    near = laid.join(said.withColumn("_b", F.floor(F.col("at") / BUCKET)), ["rel_file", "_b"]).filter(F.col("at").between(F.col("line"), F.col("end_line"))).select("rel_file", "line", "name", "token", F.lit(WEIGHTS["near"]).alias("w"))
     callers = top_callers(edges, CALLERS).select("name", F.explode(hit(F.col("caller"))).alias("token")).distinct()
     from_callers = spans.join(callers, "name").select("rel_file", "line", "name", "token", F.lit(WEIGHTS["near"]).alias("w"))
     callees = top_callees(edges, CALLEES).select(F.regexp_replace("file", "^/srv/mirror/", "").alias("rel_file"), F.col("caller").alias("name"), F.col("caller_line").alias("line"), F.explode(hit(F.col("name"))).alias("token"))

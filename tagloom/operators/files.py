@@ -68,8 +68,8 @@ def untagged_reason(files: DataFrame, tags: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for s in SKIP_SUFFIXES:
         bad = bad | low.endswith(s)
-    reason = F.when(bad, "skip-ext").when(F.col("text").isNull(), "missing").when(F.trim("text") == "", "empty").when(language_of(F.col("rel_file")).isNull(), "no-grammar").otherwise("parsed-zero-tags")
-    f = files.filter("rel_file is not null").groupBy("rel_file").agg(F.max("text").alias("text"))
+    reason = F.when(bad, "skip-ext").when(~F.col("there"), "missing").when(~F.col("filled"), "empty").when(language_of(F.col("rel_file")).isNull(), "no-grammar").otherwise("parsed-zero-tags")
+    f = files.filter("rel_file is not null").groupBy("rel_file").agg(F.bool_or(F.col("text").isNotNull()).alias("there"), F.bool_or(F.coalesce(F.trim("text") != "", F.lit(False))).alias("filled"))
     return f.join(tags.filter("rel_file is not null").select("rel_file").distinct(), "rel_file", "left_anti").select("rel_file", reason.alias("reason"))
 
 

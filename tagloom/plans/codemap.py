@@ -492,9 +492,14 @@ def map_budget_prefix(s, d):
     return rank.budget_prefix(r, [F.desc("rank"), "rel_file", "line", "name"], cost, 2048)
 
 
-@query("map_ranked_live")
+@query("map_ranked_live", _settled_sql(30).replace("FROM refs WHERE from_file IS NOT NULL GROUP BY 1, 2", f"FROM ({_BAG}) GROUP BY 1, 2") + """,
+    o AS (SELECT *, row_number() OVER (ORDER BY rank DESC, rel_file, line, name) AS position, greatest(1, CAST(ceil(length(rel_file || name) / 4) AS BIGINT)) AS cost
+      FROM (SELECT round(k.rank, 9) AS rank, t.rel_file, t.line, t.name, t.kind FROM (SELECT DISTINCT rel_file, line, name, kind FROM tags WHERE kind = 'def' AND name IS NOT NULL) t JOIN r30 k ON t.rel_file = k.rel_file)),
+    c AS (SELECT *, CAST(sum(cost) OVER (ORDER BY position) AS BIGINT) AS spent FROM o)
+    SELECT rank, rel_file, line, name, kind, position, spent FROM c WHERE spent <= 2048 OR position = 1""")
 def map_ranked_live(s, d):
-    r = rank.boosted(rank.pagerank(edges.weighted_edges(_tags(s, d)), _nodes(s, d)), _tags(s, d))
+    ranks = rank.pagerank(edges.weighted_edges(_tags(s, d)), _nodes(s, d), most=30).withColumn("rank", F.round("rank", 9))
+    r = rank.boosted(ranks, _tags(s, d))
     return rank.budget_prefix(r, [F.desc("rank"), "rel_file", "line", "name"], F.ceil(F.length(F.concat("rel_file", "name")) / 4), 2048)
 
 
@@ -781,29 +786,32 @@ def scope_filter(s, d):
 
 # --- resolution --------------------------------------------------------------------------------------------------------------
 
-_IMPORTS = r"""
-    SELECT DISTINCT rel_file AS source_file, regexp_extract(l, '^import (\w+)$', 1) AS local_name, regexp_extract(l, '^import (\w+)$', 1) AS qualified_name, false AS is_from_import FROM lines WHERE regexp_matches(l, '^import \w+$')
-    UNION SELECT DISTINCT rel_file, regexp_extract(l, '^from ([\w.]+) import (\w+)$', 2), regexp_extract(l, '^from ([\w.]+) import (\w+)$', 1) || '.' || regexp_extract(l, '^from ([\w.]+) import (\w+)$', 2), true FROM lines WHERE regexp_matches(l, '^from [\w.]+ import \w+$')"""
-_LINES = "lines AS (SELECT rel_file, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS l FROM documents WHERE rel_file LIKE '%.py' AND text IS NOT NULL)"
+#: Import statements of one line, per language: extension, pattern, local name, qualified name, module, whether from-import.
+_FORMS = [
+    ("py", r"^import (\S+)$", "{1}", "{1}", "{1}", "false"), ("py", r"^from ([\w.]+) import (\w+)$", "{2}", "{1} || '.' || {2}", "{1}", "true"),
+    ("js|ts", r'^import \{ (\w+) \} from "([^"]+)";$', "{1}", "{2} || '.' || {1}", "{2}", "true"), ("go", r'^"([^"]+/)?([^"/]+)"$', "{2}", "{1} || {2}", "{1} || {2}", "false"),
+    ("java", r"^import ([\w.]+)\.(\w+);$", "{2}", "{1} || '.' || {2}", "{1}", "true"), ("rs", r"^use ([\w:]+)::(\w+);$", "{2}", "{1} || '::' || {2}", "{1}", "true"),
+    ("c", r'^#include [<"](\w+)(\.\w+)[>"]$', "{1}", "{1} || {2}", "{1} || {2}", "false"), ("rb", r'^require "(\w+)"$', "{1}", "{1}", "{1}", "false"),
+]
+
 
+def _form_sql(ext: str, pattern: str, local: str, name: str, module: str, from_: str) -> str:
+    parts = ["", *(f"regexp_extract(l, '{pattern}', {i})" for i in (1, 2))]
+    local, name, module = (x.replace("{1}", parts[1]).replace("{2}", parts[2]) for x in (local, name, module))
+    return f"SELECT DISTINCT rel_file AS source_file, {local} AS local_name, {name} AS qualified_name, {module} AS source_module, {from_} AS is_from_import, false AS is_star, false AS is_static, line FROM lines WHERE regexp_matches(rel_file, '\\.({ext})$') AND regexp_matches(l, '{pattern}')"
 
-def _python_imports(s, d):
-    lines = load(s, d, "documents", "rel_file", "text").filter("rel_file like '%.py' and text is not null").select("rel_file", F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("l"))
-    plain = F.regexp_extract("l", r"^import (\w+)$", 1)
-    mod, name = F.regexp_extract("l", r"^from ([\w.]+) import (\w+)$", 1), F.regexp_extract("l", r"^from ([\w.]+) import (\w+)$", 2)
-    f = lines.filter(F.col("l").startswith("import ") | F.col("l").startswith("from "))
-    a = f.filter(plain != "").select(F.col("rel_file").alias("source_file"), plain.alias("local_name"), plain.alias("qualified_name"), F.lit(False).alias("is_from_import"))
-    b = f.filter(name != "").select(F.col("rel_file").alias("source_file"), name.alias("local_name"), F.concat(mod, F.lit("."), name).alias("qualified_name"), F.lit(True).alias("is_from_import"))
-    return a.unionByName(b).distinct()
 
+_IMPORTS = " UNION ALL ".join(_form_sql(*x) for x in _FORMS)
+_LINES = "lines AS (SELECT rel_file, CAST(line AS INTEGER) AS line, trim(ls[line], ' ' || chr(9)) AS l FROM (SELECT rel_file, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT rel_file, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents WHERE rel_file IS NOT NULL AND text IS NOT NULL)))"
 
-@query("imports_python", f"WITH {_LINES} {_IMPORTS}")
-def imports_python(s, d):
-    return _python_imports(s, d)
+
+@query("imports_extract", f"WITH {_LINES} {_IMPORTS}")
+def imports_extract(s, d):
+    return extract.imports(_texts(s, d)).distinct()
 
 
 @query("import_resolve", f"""
-    WITH {_LINES}, b AS MATERIALIZED ({_IMPORTS}),
+    WITH {_LINES}, b AS MATERIALIZED (SELECT DISTINCT source_file, local_name, qualified_name, is_from_import FROM ({_IMPORTS})),
     own AS (SELECT source_file, local_name, count(DISTINCT qualified_name) AS n, min(qualified_name) AS one, first(qualified_name ORDER BY length(qualified_name), qualified_name) AS short,
       count(DISTINCT qualified_name) FILTER (WHERE is_from_import) AS fn, min(qualified_name) FILTER (WHERE is_from_import) AS fone FROM b GROUP BY 1, 2),
     al AS (SELECT local_name, count(DISTINCT qualified_name) AS n, min(qualified_name) AS one, first(qualified_name ORDER BY length(qualified_name), qualified_name) AS short FROM b GROUP BY 1),
@@ -812,30 +820,15 @@ def imports_python(s, d):
       CAST(CASE WHEN own.n = 1 OR al.n = 1 THEN 1.0 WHEN own.fn = 1 THEN 0.8 WHEN own.n > 1 OR al.n > 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence
     FROM r LEFT JOIN own ON r.source_file = own.source_file AND r.name = own.local_name LEFT JOIN al ON r.name = al.local_name""")
 def import_resolve(s, d):
-    b = _python_imports(s, d)
-    py = load(s, d, "documents", "rel_file", "text").filter("rel_file like '%.py' and text is not null").select(F.col("rel_file").alias("source_file"), F.lit("window").alias("name"))
-    return resolve.resolve_imports(b.select("source_file", F.col("local_name").alias("name")).unionByName(py), b)
+    b = imports_extract(s, d).filter("not is_star")
+    every = _texts(s, d).select(F.col("rel_file").alias("source_file"), F.lit("window").alias("name"))
+    return resolve.resolve_imports(b.select("source_file", F.col("local_name").alias("name")).unionByName(every), b)
 
 
 @query("qualified_fanout", f"""
     WITH {_LINES}, b AS ({_IMPORTS}), o AS (SELECT source_file, local_name AS name, min(qualified_name) AS q FROM b GROUP BY 1, 2 HAVING count(DISTINCT qualified_name) = 1)
     SELECT source_file, name FROM o UNION SELECT source_file, q FROM o""")
 def qualified_fanout(s, d):
-    o = _python_imports(s, d).groupBy("source_file", F.col("local_name").alias("name")).agg(F.min("qualified_name").alias("qualified_name"), F.count_distinct("qualified_name").alias("n")).filter("n = 1")
-    return resolve.qualified_fanout(o)
-
-
-@query("import_resolve_all")
-def import_resolve_all(s, d):
-    """``import_resolve`` over the imports of all languages; that one, as its SQL, reads plain one-name lines of Python only."""
-    b = imports_extract(s, d).filter("not is_star")
-    every = _texts(s, d).select(F.col("rel_file").alias("source_file"), F.lit("window").alias("name"))
-    return resolve.resolve_imports(b.select("source_file", F.col("local_name").alias("name")).unionByName(every), b)
-
-
-@query("qualified_fanout_all")
-def qualified_fanout_all(s, d):
-    """``qualified_fanout`` over the imports of all languages."""
     o = imports_extract(s, d).filter("not is_star").groupBy("source_file", F.col("local_name").alias("name")).agg(F.min("qualified_name").alias("qualified_name"), F.count_distinct("qualified_name").alias("n")).filter("n = 1")
     return resolve.qualified_fanout(o)
 
@@ -1019,8 +1012,3 @@ def tags_extract(s, d):
 @query("symbols_extract")
 def symbols_extract(s, d):
     return extract.symbols(_texts(s, d)).distinct()
-
-
-@query("imports_extract")
-def imports_extract(s, d):
-    return extract.imports(_texts(s, d)).distinct()

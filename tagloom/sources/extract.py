@@ -172,6 +172,21 @@ def _on_one_line(text: str, language: str) -> str:
     return _OVER_LINES[language].sub(join, text) if language in _OVER_LINES else text
 
 
+def _use_tree(text: str, prefix: str = "") -> list[str]:
+    """The paths of a Rust import, groups within groups taken apart."""
+    parts, depth, last = [], 0, 0
+    for i, c in enumerate(text + ","):
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 0:
+            parts.append(text[last:i].strip())
+            last = i + 1
+    out = []
+    for part in filter(None, parts):
+        head, brace, rest = part.partition("{")
+        out += _use_tree(rest.rstrip()[:-1], prefix + head.strip()) if brace else [prefix + part]
+    return out
+
+
 def imports_of(path: str, text: str | None) -> list[tuple]:
     """(local name, qualified name, module, from-import, star, static, line) of each import of a text."""
     language = language_of(path)
@@ -218,9 +233,9 @@ def imports_of(path: str, text: str | None) -> list[tuple]:
                 out.append(_row(m[1] or full.rpartition("::")[2], full, full.rpartition("::")[0], True, False, False, n))
         elif language == "rust":
             if m := re.match(r"(?:pub\s+)?use\s+(.+?);", s):
-                head, _, inner = m[1].partition("{")
-                for part in filter(None, (x.strip() for x in inner.rstrip("} ").split(","))) if inner else [m[1]]:
-                    full, _, alias = (x.strip() for x in ((head if inner else "") + part).partition(" as "))
+                for path in _use_tree(m[1]):
+                    full, _, alias = (x.strip() for x in path.partition(" as "))
+                    full = full.removesuffix("::self")
                     last = full.rpartition("::")[2]
                     out.append(_row(alias or last, full, full.rpartition("::")[0], True, last == "*", False, n))
         elif language == "ruby":

@@ -76,11 +76,10 @@ def test_imports_of_all_languages_are_resolved(spark, tmp_path):
         every.setdefault(name, set()).add(q)
     names = set(own) | {(p, "window") for p, t in docs if p and t is not None}
     expected = {(p, n, *((min(own[p, n]), 1.0) if len(own.get((p, n), ())) == 1 else (n, 0.0))) for p, n in names}
-    assert {tuple(r) for r in catalog.QUERIES["import_resolve_all"](spark, str(tmp_path)).collect()} == expected
+    assert {tuple(r) for r in catalog.QUERIES["import_resolve"](spark, str(tmp_path)).collect()} == expected
     assert {("r/a.js", "f", "m.e", 1.0), ("r/A.java", "C", "a.b.C", 1.0), ("r/a.rs", "i", "a::c", 1.0), ("r/a.go", "g", "a/h", 1.0), ("r/a.py", "w", "n.z", 1.0), ("r/a.c", "window", "window", 0.0)} <= expected
     fanned = {(p, x) for (p, n), qs in own.items() if len(qs) == 1 for x in (n, *qs)}
-    assert {tuple(r) for r in catalog.QUERIES["qualified_fanout_all"](spark, str(tmp_path)).collect()} == fanned
-    assert "import_resolve_all" not in catalog.SQL and "qualified_fanout_all" not in catalog.SQL
+    assert {tuple(r) for r in catalog.QUERIES["qualified_fanout"](spark, str(tmp_path)).collect()} == fanned
 
 
 @pytest.mark.parametrize(("path", "text", "bound"), [
@@ -90,3 +89,8 @@ def test_imports_of_all_languages_are_resolved(spark, tmp_path):
 ])
 def test_imports_over_several_lines(path, text, bound):
     assert [(r[0], r[1], r[6]) for r in extract.imports_of(path, text)] == bound
+
+
+def test_rust_groups_within_groups():
+    got = extract.imports_of("a.rs", "use a::{b::{c, d as e}, f, self};\nuse g::*;\n")
+    assert [r[:3] for r in got] == [("c", "a::b::c", "a::b"), ("e", "a::b::d", "a::b"), ("f", "a::f", "a"), ("a", "a", ""), ("*", "g::*", "g")] and [r[4] for r in got] == [False] * 4 + [True]
