@@ -80,7 +80,9 @@ _RUBY_BEFORE = re.compile(r"(?:\A|[\n=(\[{;,|&!?:<>+*-]|\b(?:return|and|or|not|t
 _RUBY_REACH = 8  # longer than any of these words; blanks before the word looked at are skipped first, however many
 
 #: Operators without an operand behind them, and keywords that are assigned to: no expression of these languages.
-_LOST_OPERAND = re.compile(r"(?:(?<!\+)\+|(?<!-)-|(?<![=!<>])=|(?<!%)%|\^)[ \t\n]*[;)\]]|\b(?:int|char|float|double|void|return|struct|const|var|func)[ \t]+=(?![=>])")
+_LOST_OPERAND = re.compile(r"([-+=%^])[ \t\n]*[;)\]]")
+_ASSIGNED_WORD = re.compile(r"(?<=[a-z])[ \t]+=(?![=>])")
+_RESERVED = re.compile(r"(?<![\w$.])(?:int|char|float|double|void|return|struct|const|var|func)\Z")
 _LOST_IN = {"c", "java", "go", "javascript", "typescript"}
 
 
@@ -110,6 +112,14 @@ def _ruby_blocks(code: str) -> str | None:
     return "ends-early" if stack else None
 
 
+def _loses_operand(code: str) -> bool:
+    for m in _LOST_OPERAND.finditer(code):
+        before = code[m.start() - 1 : m.start()]
+        if not (m[1] in "+-" and before == m[1] or m[1] == "=" and before in ("=", "!", "<", ">") or m[1] == "%" and before == "%"):
+            return True
+    return any(_RESERVED.search(code, max(0, m.start() - 8), m.start()) for m in _ASSIGNED_WORD.finditer(code))
+
+
 def _balance(code: str) -> str | None:
     """The pushdown of delimiters."""
     stack: list[str] = []
@@ -235,7 +245,7 @@ def reason_of(text: str | None, language: str) -> str | None:
     for foreign in _FOREIGN.get(language, ()):
         if code.strip() and foreign.search(code):
             return "other-language"
-    if language in _LOST_IN and _LOST_OPERAND.search(code):
+    if language in _LOST_IN and _loses_operand(code):
         return "grammar"
     if language == "ruby":
         return _ruby_blocks(code)
