@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -87,14 +88,16 @@ def fuzzy(tags: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return pool.orderBy("d", nd, "name", "rel_file", "line").limit(k).select("rel_file", "line", "name", "kind", "d", "overlap")
 
 
-def tiered(tags: DataFrame, query: str, mode: str = "substring", limit: int = 10) -> DataFrame:
-    """The hits of the first tier that has any (``quality`` exact, then fuzzy: variants, close names). Each later tier runs only if the ones before are empty."""
+def tiered(tags: DataFrame, query: str, mode: str = "substring", limit: int = 10, content: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The hits of the first tier that has any (``quality`` exact, then fuzzy: variants, close names, then what ``content()`` gives, a search by what code does). Each later tier runs only if the ones before are empty."""
     first = detect(tags, query, mode, limit).withColumn("quality", F.lit("exact"))
     if not first.isEmpty():
         return first
     cols = ["rel_file", "line", "name", "kind"]
     second = variants(tags, query, limit)
     tier = second if not second.isEmpty() else fuzzy(tags, query, limit).withColumn("round", F.lit(1).cast("long"))
+    if content is not None and tier.isEmpty():
+        return content().select("rel_file", "line", "name", F.lit("def").alias("kind"), F.lit(1).cast("long").alias("round"), F.lit("content").alias("quality"))
     return tier.select(*cols, "round").withColumn("quality", F.lit("fuzzy"))
 
 
@@ -131,6 +134,13 @@ def symbols_rescue(table: DataFrame, query: str, type_: str | None = None, limit
     return keyed.orderBy("b", "t", "d", "type", "name", "file", "line").limit(clamp(limit)).select("file", "line", "name", "type", "d")
 
 
+def symbols_lookup(table: DataFrame, query: str, type_: str | None = None, limit: int = 10) -> DataFrame:
+    """``file, line, name, type, quality``: symbols whose name holds the query (``exact``), or, only where there are none, close ones (``fuzzy``)."""
+    cols = ["file", "line", "name", "type"]
+    first = symbols(table, query, type_, limit=limit).select(*cols, F.lit("exact").alias("quality"))
+    return first if not first.isEmpty() else symbols_rescue(table, query, type_, limit).select(*cols, F.lit("fuzzy").alias("quality"))
+
+
 def overlap_counts(names: DataFrame, query: str) -> DataFrame:
     """``name, overlap`` of names that share a part with the query."""
     q = list(dict.fromkeys(tokens_of(query)))

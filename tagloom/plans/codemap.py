@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.functions import text as T
-from tagloom.operators import content, edges, files, rank, render, resolve, search, snapshot, spans, traverse
+from tagloom.operators import content, edges, files, rank, render, resolve, search, serving, snapshot, spans, traverse
 from tagloom.sources import extract
 from tagloom.tables import load, nth, rel_of
 
@@ -867,6 +867,13 @@ def content_search(s, d):
     return content.content_search(_tags(s, d), load(s, d, "documents", "rel_file", "text"), _calls(s, d), "where is the window of a cached page loaded", 20)
 
 
+@query("detect_by_content")
+def detect_by_content(s, d):
+    """All four tiers of a search: nothing is named like this question, so what code does has to answer."""
+    q = "where is the window of a cached page loaded"
+    return search.tiered(_tags(s, d), q, limit=20, content=lambda: content.content_search(_tags(s, d), load(s, d, "documents", "rel_file", "text"), _calls(s, d), q, 20))
+
+
 # --- snapshots ---------------------------------------------------------------------------------------------------------------
 
 _NOW = "SELECT rel_file, size, mtime_ns FROM (SELECT * FROM file_state WHERE rel_file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel_file ORDER BY scan_id DESC, received_at DESC) = 1) WHERE size IS NOT NULL OR mtime_ns IS NOT NULL"
@@ -1012,3 +1019,80 @@ def tags_extract(s, d):
 @query("symbols_extract")
 def symbols_extract(s, d):
     return extract.symbols(_texts(s, d)).distinct()
+
+
+# --- serving -----------------------------------------------------------------------------------------------------------------
+
+
+@query("path_containment", "SELECT DISTINCT file, starts_with(file, '/srv/mirror/quillstone/') AND NOT regexp_matches(file, '(^|/)[.][.](/|$)') AS inside FROM tags WHERE file IS NOT NULL")
+def path_containment(s, d):
+    return load(s, d, "tags", "file").filter("file is not null").distinct().select("file", serving.within(F.col("file"), "/srv/mirror/quillstone").alias("inside"))
+
+
+@query("candidate_shapes", f"SELECT name, regexp_full_match(name, '[_A-Za-z][_0-9A-Za-z]*(::[_A-Za-z][_0-9A-Za-z]*)*([.][_A-Za-z][_0-9A-Za-z]*)*') AS candidate FROM {_NAMES}")
+def candidate_shapes(s, d):
+    return _names(s, d).select("name", serving.is_candidate(F.col("name")).alias("candidate"))
+
+
+@query("plural_matches", f"SELECT name FROM {_NAMES} WHERE list_has_any({_TOKENS}, ['item', 'items'])")
+def plural_matches(s, d):
+    return _names(s, d).filter(serving.matches_word(T.tokens(F.col("name")), "item")).select("name")
+
+
+@query("state_ages", """
+    WITH m AS (SELECT rel_file, max(received_at) AS got FROM file_state WHERE rel_file IS NOT NULL GROUP BY 1), s AS (SELECT rel_file, epoch((SELECT max(got) FROM m)) - epoch(got) AS sec FROM m)
+    SELECT rel_file, CASE WHEN sec IS NULL THEN 'unknown' WHEN floor(sec) < 60 THEN CAST(floor(sec) AS BIGINT) || 's' WHEN floor(sec) < 3600 THEN CAST(floor(floor(sec) / 60) AS BIGINT) || 'm'
+      WHEN floor(sec) < 86400 THEN CAST(floor(floor(sec) / 3600) AS BIGINT) || 'h' ELSE CAST(floor(floor(sec) / 86400) AS BIGINT) || 'd' END AS age FROM s""")
+def state_ages(s, d):
+    m = load(s, d, "file_state", "rel_file", "received_at").filter("rel_file is not null").groupBy("rel_file").agg(F.unix_micros(F.max(F.col("received_at").cast("timestamp"))).alias("at"))
+    newest = m.agg(F.max("at")).first()[0]
+    return m.select("rel_file", serving.age((F.lit(newest) - F.col("at")) / 1_000_000).alias("age"))
+
+
+@query("lookup_hints", f"""
+    WITH q AS (SELECT unnest(['init', 'updte', 'no_such_name_here']) AS q), n AS (SELECT q, (SELECT count(*) FROM tags WHERE lower(name) = q) AS hits, (SELECT count(*) FROM {_NAMES} WHERE levenshtein(lower(name), q) <= 2) AS near FROM q)
+    SELECT q, CASE WHEN hits + near = 0 THEN 'symbols' WHEN hits = 0 THEN 'detail' END AS next_rung, CASE WHEN hits + near = 0 THEN 'empty' WHEN hits = 0 THEN 'fuzzy_verify' END AS reason FROM n""")
+def lookup_hints(s, d):
+    names = _names(s, d)
+    qs = ["init", "updte", "no_such_name_here"]
+    n = names.agg(*(F.count_if(F.lower("name") == q).alias(f"h{i}") for i, q in enumerate(qs)), *(F.count_if(F.levenshtein(F.lower("name"), F.lit(q)) <= 2).alias(f"n{i}") for i, q in enumerate(qs)))
+    rows = n.select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"h{i}").alias("hits"), F.col(f"n{i}").alias("near")) for i, q in enumerate(qs)))).alias("r")).select("r.*")
+    h = serving.hint(F.lit("detect"), F.col("hits") + F.col("near"), F.when((F.col("hits") == 0) & (F.col("near") > 0), F.lit("fuzzy")))
+    return rows.select("q", h["next_rung"].alias("next_rung"), h["reason"].alias("reason"))
+
+
+@query("texts_cut", rf"""
+    SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE regexp_replace(CASE WHEN contains(text[:{400 - len(serving.CUT_MARK)}], chr(10)) THEN regexp_replace(text[:{400 - len(serving.CUT_MARK)}], '\n[^\n]*$', '') ELSE text[:{400 - len(serving.CUT_MARK)}] END, '[ \t\n\f\r\v]+$', '') || chr(10) || '... [truncated to fit max_tokens]' END AS text
+    FROM documents WHERE text IS NOT NULL""")
+def texts_cut(s, d):
+    return load(s, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", serving.cut_text(F.col("text"), 100).alias("text"))
+
+
+@query("tags_keep_first", f"SELECT rank, rel_file, line, name FROM (SELECT k.rank, t.rel_file, t.line, t.name, t.kind FROM tags t JOIN ({_RANKS}) k ON t.rel_file = k.rel_file WHERE t.name IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY rel_file, name ORDER BY line, kind) = 1")
+def tags_keep_first(s, d):
+    t = _tags(s, d).filter("name is not null").join(_stored_ranks(s, d), "rel_file")
+    return serving.keep_first(t, ["rel_file", "name"], ["line", "kind"]).select("rank", "rel_file", "line", "name")
+
+
+@query("files_of_interest", "SELECT rel_file, bool_or(chat) AS chat FROM (SELECT rel_file, true AS chat FROM file_flags UNION ALL SELECT rel_file, false FROM tags) WHERE rel_file IS NOT NULL GROUP BY rel_file")
+def files_of_interest(s, d):
+    return serving.files_of_interest(load(s, d, "file_flags", "rel_file"), load(s, d, "tags", "rel_file"))
+
+
+@query("index_line", f"SELECT (SELECT count(DISTINCT rel_file) FROM ({_NOW})) || ' files, ' || (SELECT count(*) FROM tags) || ' tags, sig ' || (SELECT left(signature, 8) FROM ({_SIG})) AS line")
+def index_line(s, d):
+    return serving.index_line(_now(s, d), load(s, d, "tags", "kind"), snapshot.signature(_now(s, d)))
+
+
+@query("walk_in_budget")
+def walk_in_budget(s, d):
+    return serving.fit_walk(*_walk(s, d, "callers('fetch_vabomu_batch') depth=2 limit=1000"), 2048)[1].select(*_WALK, "cut")
+
+
+@query("symbols_lookup", rf"""
+    WITH n AS (SELECT DISTINCT name FROM symbols WHERE name IS NOT NULL AND file IS NOT NULL),
+    k AS (SELECT name, CAST(least(levenshtein(lower({_BASE}), 'updte'), 3) AS BIGINT) AS d FROM n WHERE least(levenshtein(lower({_BASE}), 'updte'), 3) <= 2)
+    SELECT file, line, name, type, 'fuzzy' AS quality FROM (SELECT DISTINCT s.file, s.line, s.name, s.type, k.d FROM symbols s JOIN k ON s.name = k.name WHERE s.file IS NOT NULL)
+    ORDER BY {_BOUND.replace("'page'", "'updte'")}, CAST(regexp_matches(file, '{T.TEST_PATH}') AS INT), d, type, name, file, line LIMIT 60""")
+def symbols_lookup(s, d):
+    return search.symbols_lookup(load(s, d, "symbols"), "updte", limit=60)
