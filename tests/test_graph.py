@@ -124,6 +124,49 @@ def test_chain(calls):
     assert traverse.references(traverse.Step("refs", "authenticate"), t).count() == 2
 
 
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """Tables in which a caller of the start and the start call a name that 1,500 functions have, who all call it again."""
+    d = str(tmp_path_factory.mktemp("hot"))
+    f = [(f"/srv/mirror/r/h{i}.py", "hot", 1) for i in range(1500)] + [("/srv/mirror/r/a.py", "fetch_vabomu_batch", 1), ("/srv/mirror/r/a.py", "top", 11)]
+    at = lambda f: (f, f[len("/srv/mirror/") :])
+    refs = [(*at(x), line + 1, "hot", "ref") for x, _, line in f] + [(*at(f[-1][0]), 12, "fetch_vabomu_batch", "ref")]
+    spark.createDataFrame([(*at(x), line, n, "def") for x, n, line in f] + refs, "file string, rel_file string, line int, name string, kind string").write.parquet(f"{d}/tags.parquet")
+    spark.createDataFrame([(x, line, n, "function", line + 2) for x, n, line in f], "file string, line int, name string, type string, end_line int").write.parquet(f"{d}/symbols.parquet")
+    return d
+
+
+def test_callees_of_a_hot_name_are_whole_and_not_stored(spark, hot, monkeypatch):
+    from tagloom.plans import catalog
+
+    cut, stored = traverse.cut, []
+    monkeypatch.setattr(traverse, "cut", lambda df: stored.append((c := cut(df)).count()) or c)
+    e = catalog.QUERIES["bfs_callees"](spark, hot)
+    assert max(stored) < 10_000
+    assert {r.hop: r["count"] for r in e.groupBy("hop").count().collect()} == {1: 1500, 2: 1500 * 1500} and e.distinct().count() == 1500 + 1500 * 1500
+
+
+def test_blocks_join_all(spark, rows, monkeypatch):
+    c = spark.createDataFrame([(f"f{i}", k) for i in range(9) for k in "abc"[: 1 + i % 3]], "from_file string, key string")
+    d = spark.createDataFrame([(f"g{i}", k) for i in range(7) for k in "abz"[: 1 + i % 3]], "to_file string, key string")
+    plain = rows(c.join(d, "key").select("key", "from_file", "to_file"))
+    for block in (1, 2, 5, 100):
+        monkeypatch.setattr(traverse, "BLOCK", block)
+        monkeypatch.setattr(traverse, "WHOLE", 0)
+        e, n = traverse._meet(c, d)
+        assert rows(e.select("key", "from_file", "to_file")) == plain and n == len(plain)
+    assert traverse._meet(c, d.filter("key = 'z'"))[1] == 0
+
+
+def test_limit_none(calls):
+    t, c = calls
+    assert traverse.parse("callers('x') limit=none")[0].limit is None
+    nodes, e = traverse.run("callers('authenticate') depth=2 limit=none", t, c)
+    some, f = traverse.run("callers('authenticate') depth=2", t, c)
+    assert {*nodes.collect()} == {*some.collect()} and {*e.collect()} == {*f.collect()} and e.count() == f.count()
+    assert traverse.run("defs('authenticate') limit=none", t, c)[0].count() == 2
+
+
 @pytest.mark.parametrize("text", ["", "callers()", "callers('')", "nope('x')", "callers('x') depth=0", "callers('x') wat=1", "callers('x') depth", "callers('a|b')"])
 def test_what_is_no_query(text):
     with pytest.raises(ValueError):
