@@ -146,6 +146,23 @@ def test_callees_of_a_hot_name_are_whole_and_not_stored(spark, hot, monkeypatch)
     assert {r.hop: r["count"] for r in e.groupBy("hop").count().collect()} == {1: 1500, 2: 1500 * 1500} and e.distinct().count() == 1500 + 1500 * 1500
 
 
+def test_chain_over_a_hot_name_is_whole(spark, hot, monkeypatch):
+    from tagloom.plans import catalog
+
+    cut, stored = traverse.cut, []
+    monkeypatch.setattr(traverse, "cut", lambda df: stored.append((c := cut(df)).count()) or c)
+    e = catalog.QUERIES["chained_query"](spark, hot)
+    assert max(stored) < 10_000 and {r.hop: r["count"] for r in e.groupBy("hop").count().collect()} == {1: 1501, 2: 1500 * 1500 + 1500}
+
+
+def test_calls_of_inner_functions_are_not_the_outer_ones(spark):
+    sym = spark.createDataFrame([("a.py", "outer", "function", 1, 400), ("a.py", "inner", "function", 150, 200)], "file string, name string, type string, line int, end_line int")
+    t = [("a.py", 1, "outer", "def"), ("a.py", 150, "inner", "def"), ("b.py", 1, "x", "def"), ("b.py", 9, "y", "def"), ("a.py", 160, "x", "ref"), ("a.py", 300, "y", "ref")]
+    tag = spark.createDataFrame([(f, f, a, n, k) for f, a, n, k in t], "file string, rel_file string, line int, name string, kind string")
+    for name, to in (("outer", "y"), ("inner", "x")):
+        assert [(r.from_name, r.to_name) for r in traverse.run(f"callees('{name}')", tag, symbols=sym)[1].collect()] == [(name, to)]
+
+
 def test_blocks_join_all(spark, rows, monkeypatch):
     c = spark.createDataFrame([(f"f{i}", k) for i in range(9) for k in "abc"[: 1 + i % 3]], "from_file string, key string")
     d = spark.createDataFrame([(f"g{i}", k) for i in range(7) for k in "abz"[: 1 + i % 3]], "to_file string, key string")
